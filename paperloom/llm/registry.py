@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import chat, line_dedup, merkle, quality, simhash
 
 QUERIES = {
+    "op1_merkle": merkle.op1_merkle,
+    "op3_chat": chat.op3_chat,
     "op5_simhash": simhash.op5_simhash,
+    "op6_line_spread": line_dedup.op6_line_spread,
+    "op7_line_frequency": quality.op7_line_frequency,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": chat.OP3_SQL,
+    "op6_line_spread": line_dedup.OP6_SQL,
+    "op7_line_frequency": quality.OP7_SQL,
+}
