@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, merkle, mixture, quality, simhash, warc
+from . import chat, line_dedup, merkle, mixture, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_merkle": merkle.op1_merkle,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_line_spread": line_dedup.op6_line_spread,
     "op7_line_frequency": quality.op7_line_frequency,
+    "op8_merge_dropout": pieces.op8_merge_dropout,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
