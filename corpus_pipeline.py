@@ -1,10 +1,32 @@
-"""The corpus pipeline: language, lines, near duplicates, mixture, tokens."""
+"""The corpus pipeline: language, lines, near duplicates, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of documents. run applies them to
+documents, with the result of each stage but the last written and read back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import language, line_dedup, mixture, pieces, simhash
+from paperloom.llm.common import as_table
+
+#: A document whose best language has less than this mean probability is rejected.
+MIN_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network learned from those labelled; the others, und and texts without a clear one, go."""
+    found = language.identify(docs, language.fit(docs))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
 
-from paperloom.llm import simhash
+def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that too many sources share; n_chars follows the text."""
+    out = line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,18 +34,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.drop_near_duplicates(docs, size=5, radius=2)
 
 
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mixture takes."""
+    return mixture.mixed_documents(docs)
+
+
+def merge_dropout(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with token_ids, and lossless: whether they decode to the text."""
+    return pieces.encode(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_spread", line_spread),
     ("near_duplicates", near_duplicates),
+    ("source_mixture", source_mixture),
+    ("merge_dropout", merge_dropout),
 ]
 
-#: Hashes, trained models and seeded choices decide; SQL can't express them.
+#: A trained network, hashes and seeded choices decide; SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over documents."""
-    from paperloom.llm.common import as_table
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = as_table(stage(spark, docs, sf_dir), name)

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, path: st
                 yield of(b.slice(i, 1000), p)
 
     columns = [c for c in docs.columns if c not in ("token_ids", "lossless")]
-    schema = docs.select(*columns).schema.add("token_ids", "array<int>").add("lossless", "boolean")
+    schema = docs.select(*columns).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
     return docs.select(*columns).mapInArrow(batches, schema)
 
 

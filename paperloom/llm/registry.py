@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hmm, line_dedup, merkle, mixture, pieces, quality, simhash, warc
+from . import chat, hmm, language, line_dedup, merkle, mixture, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_merkle": merkle.op1_merkle,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_spread": line_dedup.op6_line_spread,
     "op7_line_frequency": quality.op7_line_frequency,
     "op8_merge_dropout": pieces.op8_merge_dropout,
+    "op9_bigru": language.op9_bigru,
     "op10_hmm": hmm.op10_hmm,
 }
 
