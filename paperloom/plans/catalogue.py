@@ -2,5 +2,492 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.functions import params, text
+from paperloom.functions.params import Anchor, Band
+from paperloom.operators import admission, analytics, candidates, classify, consensus, ledger, routing, scoring
+from paperloom.plans import standins as S
+from paperloom.streaming import ledger_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def query(sql: str | None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Items and page types
+
+NORM = r"upper(replace(regexp_replace(text, '\s+', '', 'g'), 'ß', 'SS'))"
+
+
+@query(S.sql("items", f"SELECT doc_id, item_no, {NORM} AS norm FROM items"))
+def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.items(spark, sf_dir).select("doc_id", F.col("item_no").cast("long").alias("item_no"), text.normalise(F.col("text")).alias("norm"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.65 AS DOUBLE) END AS conf, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents),
+d AS (SELECT *, regexp_replace(token, '\D', '', 'g') AS digits FROM t)
+SELECT doc_id, token, digits FROM d WHERE conf >= CAST(0.65 AS DOUBLE) AND length(digits) BETWEEN 1 AND 6 AND CAST(length(digits) AS DOUBLE) / length(token) >= CAST(0.6 AS DOUBLE)""")
+def candidate_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conf = F.when(F.col("doc_id") % 10 == 0, F.lit(0.6)).otherwise(F.lit(0.65))
+    tokens = S.table(spark, sf_dir, "documents").select("doc_id", conf.alias("conf"), F.explode(F.split("text", r"\s+", -1)).alias("token"))
+    return tokens.withColumn("digits", text.candidate_digits(F.col("token"), F.col("conf"))).where("digits is not null").drop("conf")
+
+
+#: Markers that occur in the test texts, in the place of the forms' own.
+MARKERS = (("LICENSE", "delivery_challan"), ("@", "liquid_nitrogen"), ("###", "liquid_tank_decant"), ("!!", "da_gas"), ("***", "irrelevant:petty_cash_ledger"), ("%%%", "irrelevant:stock_report"))
+REQUIRED = ("TH", "QU")
+_FLAGS = ", ".join(f"bool_or(contains(norm, '{m}')) AS m{i}" for i, (m, _) in enumerate(MARKERS))
+_CASES = " ".join(f"WHEN m{i} THEN '{k}'" for i, (_, k) in enumerate(MARKERS))
+
+
+@query(rf"""
+WITH t AS (SELECT 'documents' AS src, doc_id AS page_id, unnest(string_split(text, chr(10))) AS text FROM documents
+           UNION ALL SELECT 'pages', page_id, unnest(string_split(html, chr(10))) FROM pages),
+n AS (SELECT *, {NORM} AS norm, len(regexp_extract_all(text, '[A-Za-z]{{3,}}')) >= 2 AS prose FROM t),
+f AS (SELECT src, page_id, {_FLAGS}, bool_or(contains(norm, 'TH')) AS r0, bool_or(contains(norm, 'QU')) AS r1, bool_or(prose) AS prose FROM n GROUP BY ALL)
+SELECT src, page_id, CASE {_CASES} WHEN prose THEN 'other' WHEN r0 AND r1 THEN 'gas_cylinder' ELSE 'other' END AS type FROM f""")
+def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("page_id"), "text")
+    pages = S.table(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), "page_id", F.col("html").alias("text"))
+    items = docs.union(pages).select("src", "page_id", F.explode(F.split("text", "\n", -1)).alias("text"))
+    return classify.classify_pages(items, ["src", "page_id"], MARKERS, REQUIRED)
+
+
+@query(S.sql("items", "SELECT doc_id, bool_or(len(regexp_extract_all(text, '[A-Za-z]{3,}')) >= 2) AS prose FROM items GROUP BY doc_id"))
+def english_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.items(spark, sf_dir).groupBy("doc_id").agg(F.bool_or(text.is_prose(F.col("text"))).alias("prose"))
+
+
+# Candidates
+
+#: Bands of the test page, whose corners lie between 1 and 50 of 100.
+BANDS = (Band("gas_cylinder", 0.0, 0.11, 0.55, 1.0), Band("da_gas", 0.0, 0.31, 0.55, 1.0), Band("liquid_nitrogen", 0.10, 0.20, 0.10, 0.35), Band("liquid_nitrogen", 0.06, 0.21, 0.65, 0.92, 3, 4), Band("liquid_tank_decant", 0.08, 0.22, 0.65, 1.0))
+_BANDS = ", ".join(f"('{b.type}', {b.y_lo}::DOUBLE, {b.y_hi}::DOUBLE, {b.x_min}::DOUBLE, {b.x_max}::DOUBLE, {b.digits_lo}, {b.digits_hi}, {i})" for i, b in enumerate(BANDS))
+_IN_BANDS = f"""bands(b_type, y_lo, y_hi, x_min, x_max, digits_lo, digits_hi, region) AS (VALUES {_BANDS}),
+inside AS (SELECT c.*, region FROM candidates c JOIN bands ON type = b_type AND x0 BETWEEN x_min * w AND x_max * w AND y0 BETWEEN y_lo * h AND y_hi * h
+  AND y1 - y0 BETWEEN 0.02::DOUBLE * h AND 0.15::DOUBLE * h AND length(digits) BETWEEN digits_lo AND digits_hi)"""
+
+
+@query(S.sql("candidates", f", {_IN_BANDS} SELECT {KEYS}, type, digits, region FROM inside"))
+def band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.in_bands(S.candidates(spark, sf_dir), BANDS).select(*S.KEY, "type", "digits", "region")
+
+
+@query(S.sql("candidates", f"SELECT {KEYS}, digits, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(trunc(y1) AS INT) - CAST(trunc(y0) AS INT) DESC, l_linenumber, l_partkey, l_suppkey) AS place FROM candidates"))
+def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.ranked(S.candidates(spark, sf_dir), ["l_orderkey"], S.TIE).select(*S.KEY, "digits", "place")
+
+
+def _anchored(spark: SparkSession, sf_dir: str, anchor: Anchor) -> DataFrame:
+    all_ = S.candidates(spark, sf_dir)
+    labels = all_.where("is_label").select("l_orderkey", ((F.col("y0") + F.col("y1")) / 2).alias("ly"), F.col("x1").alias("lx1"))
+    return candidates.anchored(all_.where("not is_label"), labels, ["l_orderkey"], anchor).select(*S.KEY, "digits")
+
+
+def _anchor_sql(a: Anchor) -> str:
+    right = "AND c.x0 >= l.x1" if a.right_of_label else ""
+    return f"""SELECT {KEYS}, digits FROM candidates c WHERE NOT is_label AND x0 BETWEEN {a.x_min}::DOUBLE * w AND {a.x_max}::DOUBLE * w
+  AND EXISTS (SELECT 1 FROM candidates l WHERE l.is_label AND l.l_orderkey = c.l_orderkey AND abs((c.y0 + c.y1) / 2 - (l.y0 + l.y1) / 2) <= {a.tolerance}::DOUBLE * c.h {right})"""
+
+
+@query(S.sql("candidates", _anchor_sql(params.GATE_PASS)))
+def label_anchor_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchored(spark, sf_dir, params.GATE_PASS)
+
+
+@query(S.sql("candidates", _anchor_sql(params.CHALLAN)))
+def label_anchor_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchored(spark, sf_dir, params.CHALLAN)
+
+
+@query(S.sql("candidates", f""", a AS ({_anchor_sql(params.GATE_PASS)}), b AS ({_anchor_sql(params.CHALLAN)})
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE l_orderkey NOT IN (SELECT l_orderkey FROM a)"""))
+def fallback_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.first_that_finds(_anchored(spark, sf_dir, params.GATE_PASS), _anchored(spark, sf_dir, params.CHALLAN), ["l_orderkey"])
+
+
+@query(S.sql("candidates", f""", {_IN_BANDS}, one AS (SELECT * FROM inside WHERE type = 'liquid_nitrogen'
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, x0, y0, x1, y1 ORDER BY region, l_linenumber, l_partkey, l_suppkey) = 1)
+SELECT {KEYS}, digits, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(trunc(y1) AS INT) - CAST(trunc(y0) AS INT) DESC, region, l_linenumber, l_partkey, l_suppkey) AS place FROM one"""))
+def dual_region_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = candidates.in_bands(S.candidates(spark, sf_dir).where("type = 'liquid_nitrogen'"), BANDS)
+    order = ["region", *S.TIE]
+    return candidates.ranked(candidates.distinct_boxes(both, ["l_orderkey"], order), ["l_orderkey"], order).select(*S.KEY, "digits", "place")
+
+
+
+@query(S.sql("candidates", f""", p AS (SELECT {KEYS}, greatest(0::DOUBLE, x0 - (x1 - x0) * 0.3::DOUBLE) AS a, greatest(0::DOUBLE, y0 - (y1 - y0) * 0.3::DOUBLE) AS b,
+  least(100::DOUBLE, x1 + (x1 - x0) * 0.3::DOUBLE) AS c, least(100::DOUBLE, y1 + (y1 - y0) * 0.3::DOUBLE) AS d FROM candidates),
+q AS (SELECT {KEYS}, least(340, CAST(trunc(a * 3.4::DOUBLE) AS INT)) AS cx0, least(340, CAST(trunc(b * 3.4::DOUBLE) AS INT)) AS cy0, least(340, CAST(trunc(c * 3.4::DOUBLE) AS INT)) AS cx1, least(340, CAST(trunc(d * 3.4::DOUBLE) AS INT)) AS cy1 FROM p)
+SELECT *, CAST(cx1 - cx0 AS DOUBLE) / (cy1 - cy0) <= 4.5::DOUBLE AS readable FROM q WHERE cx1 - cx0 >= 40 AND cy1 - cy0 >= 30""").replace("x1 + (x1 - x0)", "(x1 + 10) + ((x1 + 10) - x0)").replace("x0 - (x1 - x0)", "x0 - ((x1 + 10) - x0)"))
+def crop_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = S.candidates(spark, sf_dir).withColumn("x1", F.col("x1") + 10)
+    out = wide.select(*S.KEY, candidates.crop(F.lit(340), F.lit(340), F.col("w"), F.col("h")).alias("c")).where("c is not null").select(*S.KEY, "c.*")
+    return out.withColumn("readable", candidates.readable_shape(F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")))
+
+
+# Readings
+
+@query(S.sql("candidates", """SELECT l_orderkey, digits, l_discount AS score FROM candidates WHERE regexp_full_match(digits, '\\d{1,6}')
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) = 1"""))
+def best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.best_read(S.candidates(spark, sf_dir).withColumn("score", F.col("l_discount") + 0.0), ["l_orderkey"], S.TIE)
+
+
+@query(S.sql("reads voted", f"SELECT {KEYS}, text, votes, variants FROM voted"))
+def vote_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.vote(S.reads(spark, sf_dir), S.KEY)
+
+
+def _finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = consensus.select_reading(*(F.col(c) for c in ("nominated", "text", "votes", "variants", "prediction")))
+    return S.readings(spark, sf_dir).select(*S.KEY, "nominated", chosen.alias("r")).select(*S.KEY, "nominated", "r.text", "r.votes", "r.variants")
+
+
+@query(S.sql("reads voted readings", f"SELECT {KEYS}, nominated, text, votes, variants FROM finals"))
+def confirm_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finals(spark, sf_dir)
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finals(spark, sf_dir).withColumn("status", consensus.status(F.col("text"), F.col("votes"), F.col("variants")))
+
+
+@query(S.sql("reads voted", f"""SELECT {KEYS}, text, CASE WHEN text IS NULL OR votes < 2 THEN 'unreadable' WHEN votes < variants THEN 'review' ELSE 'accepted' END AS status,
+  round(CAST(votes AS DOUBLE) / variants, 6) AS agreement FROM voted"""))
+def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = consensus.vote(S.reads(spark, sf_dir), S.KEY)
+    cols = [F.col(c) for c in ("text", "votes", "variants")]
+    return v.select(*S.KEY, "text", consensus.status(*cols).alias("status"), F.round(consensus.agreement(*cols[1:]), 6).alias("agreement"))
+
+
+@query(S.sql("reads voted readings gated resolved", "SELECT l_orderkey, number, n_accepted FROM pages_resolved"))
+def resolve_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.resolve(_gated(spark, sf_dir), ["l_orderkey"])
+
+
+@query(S.sql("reads voted readings gated", "SELECT l_orderkey, bool_and(status = 'accepted') AS clean FROM gated GROUP BY l_orderkey"))
+def file_is_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.is_clean(_gated(spark, sf_dir), ["l_orderkey"])
+
+
+@query(S.sql("reads voted readings", """, n AS (SELECT l_orderkey, nominated AS x FROM finals UNION SELECT l_orderkey, text FROM finals)
+SELECT l_orderkey, string_agg(x, ',' ORDER BY x) AS numbers FROM n WHERE x IS NOT NULL GROUP BY l_orderkey"""))
+def nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _finals(spark, sf_dir)
+    return consensus.nominations(f.withColumnRenamed("nominated", "digits"), f, ["l_orderkey"]).select("l_orderkey", F.array_join("numbers", ",").alias("numbers"))
+
+
+# Routing
+
+TYPE = "CASE o_orderkey % 11 WHEN 0 THEN 'irrelevant:petty_cash_ledger' WHEN 1 THEN 'other' ELSE o_orderpriority END"
+_PAGES = f"""typed AS (SELECT o_custkey, o_orderkey, {TYPE} AS type, o_orderpriority, o_orderstatus, number FROM orders LEFT JOIN pages_resolved ON o_orderkey = l_orderkey)"""
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = consensus.resolve(_gated(spark, sf_dir), ["l_orderkey"]).withColumnRenamed("l_orderkey", "o_orderkey")
+    return S.table(spark, sf_dir, "orders").join(resolved, "o_orderkey", "left").select("o_custkey", "o_orderkey", F.expr(TYPE).alias("type"), "o_orderpriority", "o_orderstatus", "number")
+
+
+@query(S.sql("reads voted readings gated resolved", f""", {_PAGES}, tagged AS (SELECT *, printf('%d_p%03d.pdf', o_custkey, o_orderkey + 1) AS tag FROM typed)
+SELECT o_orderkey, CASE WHEN type LIKE 'irrelevant:%' OR type = 'other' THEN 'discarded' WHEN number IS NOT NULL THEN 'scanned' ELSE 'review' END AS status,
+  CASE WHEN type LIKE 'irrelevant:%' OR type = 'other' THEN 'discarded' WHEN number IS NOT NULL THEN 'scanned/' || o_orderpriority ELSE 'review' END AS folder,
+  CASE WHEN type LIKE 'irrelevant:%' OR type = 'other' THEN tag WHEN number IS NOT NULL THEN number || '.pdf' ELSE tag END AS name,
+  CASE WHEN type LIKE 'irrelevant:%' THEN substr(type, 12) WHEN type = 'other' THEN 'unclassified' END AS kind FROM tagged"""))
+def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.col("o_custkey").cast("string"), F.lit(".pdf"))
+    r = routing.route(F.col("type"), F.col("number"), F.col("o_orderpriority"), text.page_tag(name, F.col("o_orderkey")), text.extension(name))
+    return _typed(spark, sf_dir).select("o_orderkey", r.alias("r")).select("o_orderkey", "r.*")
+
+
+@query(S.sql("reads voted readings gated resolved", f""", {_PAGES}
+SELECT o_orderkey, type, number, number IS NOT NULL AND row_number() OVER (PARTITION BY type, number ORDER BY o_custkey, o_orderkey) > 1 AS repeat FROM typed"""))
+def repeat_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.repeats(_typed(spark, sf_dir), ["o_custkey", "o_orderkey"]).select("o_orderkey", "type", "number", "repeat")
+
+
+@query(S.sql("filed", f""", disk AS (SELECT label, number, count(*) AS n FROM filed WHERE o_orderstatus = 'F' GROUP BY ALL),
+p AS (SELECT f.*, row_number() OVER (PARTITION BY f.label, f.number ORDER BY {KEYS}) + coalesce(n, 0) AS place FROM filed f LEFT JOIN disk USING (label, number) WHERE o_orderstatus <> 'F')
+SELECT label, {KEYS}, number || CASE WHEN place > 1 THEN '_' || place ELSE '' END || '.pdf' AS name FROM p"""))
+def collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.filed(spark, sf_dir).withColumnsRenamed({"label": "folder", "number": "stem"}).withColumn("ext", F.lit(".pdf"))
+    disk = f.where("o_orderstatus = 'F'").groupBy("folder", "stem").agg(F.count("*").alias("n"))
+    out = routing.unique_names(f.where("o_orderstatus <> 'F'"), disk, S.KEY)
+    return out.select(F.col("folder").alias("label"), *S.KEY, "name")
+
+
+@query(r"""
+WITH n AS (SELECT page_id, regexp_extract(url, '[^/]*$') || CASE page_id % 4 WHEN 0 THEN ' .pdf' WHEN 1 THEN '..pdf' WHEN 2 THEN '.pdf' ELSE '' END AS name FROM pages),
+e AS (SELECT *, regexp_extract(name, '^\.*[^.].*?(\.[^.]*)$', 1) AS ext FROM n)
+SELECT page_id, name, ext, regexp_replace(regexp_replace(name[1:length(name) - length(ext)], '^\s+|\s+$', '', 'g'), '\.+$', '') || printf('_p%03d', page_id + 1) || ext AS tag FROM e""")
+def page_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.expr("case page_id % 4 when 0 then ' .pdf' when 1 then '..pdf' when 2 then '.pdf' else '' end")
+    names = S.table(spark, sf_dir, "pages").select("page_id", F.concat(text.basename(F.col("url")), end).alias("name"))
+    return names.select("page_id", "name", text.extension(F.col("name")).alias("ext"), text.page_tag(F.col("name"), F.col("page_id")).alias("tag"))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = S.table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    done = S.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("o_custkey"))
+    return routing.not_done(work, done, ["o_custkey"])
+
+
+@query("""WITH f AS (SELECT o_custkey, count(*) AS pages FROM orders GROUP BY 1), w AS (SELECT o_custkey, unnest(range(pages)) AS page_index FROM f)
+SELECT o_custkey, page_index FROM w ORDER BY o_custkey, page_index LIMIT 500""")
+def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("pages"))
+    work = routing.work_list(files).select("o_custkey", F.col("page_index").cast("long").alias("page_index"))
+    return routing.first_pages(work, ["o_custkey", "page_index"], 500)
+
+
+@query("""WITH s AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS seen FROM orders GROUP BY 1)
+SELECT *, total = seen AS complete FROM s""")
+def file_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("seen", F.lit(True))
+    pages = S.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(seen, "o_orderkey", "left")
+    return routing.completion(pages, ["o_custkey"], F.col("seen").isNotNull())
+
+
+# Ledger
+
+STATUS = {"F": "scanned", "O": "review", "P": "discarded"}
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'scanned' WHEN 'O' THEN 'review' ELSE 'discarded' END"
+
+
+@query(f"WITH v(status) AS (VALUES ('scanned'), ('review'), ('discarded'), ('error')), c AS (SELECT {_STATUS} AS status, count(*) AS n FROM orders GROUP BY 1) SELECT status, coalesce(n, 0) AS n FROM v LEFT JOIN c USING (status)")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.zero_filled(S.table(spark, sf_dir, "orders").select(F.expr(_STATUS).alias("status")), "status", ["scanned", "review", "discarded", "error"])
+
+
+@query(f"""WITH b AS (SELECT o_custkey, count(*) FILTER (WHERE s = 'scanned') AS scanned, count(*) FILTER (WHERE s = 'review') AS review, count(*) FILTER (WHERE s = 'discarded') AS discarded, count(*) FILTER (WHERE s = 'error') AS errors
+  FROM (SELECT o_custkey, {_STATUS} AS s FROM orders) GROUP BY 1),
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE review = 0) AS done, CAST(sum(scanned) AS BIGINT) AS scanned, CAST(sum(review) AS BIGINT) AS review, CAST(sum(discarded) AS BIGINT) AS discarded, CAST(sum(errors) AS BIGINT) AS errors FROM b)
+SELECT *, scanned + review + discarded > 0 AS started, total > 0 AND total = done AS fully_done FROM t""")
+def status_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = S.table(spark, sf_dir, "orders").select("o_custkey", F.expr(_STATUS).alias("s"))
+    return ledger.snapshot(log, "o_custkey", "s", {"scanned": "scanned", "review": "review", "discarded": "discarded", "errors": "error"})
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS name, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus IN ('O', 'F')) > 0")
+def month_pending_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.pending_and_done(S.table(spark, sf_dir, "orders"), F.date_format("o_orderdate", "yyyy-MM"), F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "F").orderBy("name")
+
+
+BOOKS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE")
+
+
+@query(f"WITH v(label) AS (VALUES {', '.join(f'({b!r})' for b in BOOKS)}), c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT label, coalesce(n, 0) AS n FROM v LEFT JOIN c USING (label)")
+def book_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.zero_filled(S.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("label")), "label", BOOKS)
+
+
+@query("""SELECT user_id, event_id, event_type FROM events WHERE event_type <> 'view'
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END DESC, event_id DESC) = 1""")
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = S.table(spark, sf_dir, "events").where("event_type <> 'view'")
+    return ledger.latest(log, ["user_id"], (F.col("event_type") == "error").cast("int"), "event_id", ["event_id", "event_type"])
+
+
+@query("""SELECT d.doc_id, l.quality AS detected, CAST(json_extract(e.props, '$.k') AS BIGINT) AS suggested FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN events e ON d.doc_id = e.event_id""")
+def review_queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detected = S.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("detected"))
+    suggested = S.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.from_json("props", "k bigint", {"mode": "PERMISSIVE"})["k"].alias("suggested"))
+    return ledger.review_view(S.table(spark, sf_dir, "documents").select("doc_id"), detected, suggested, "doc_id")
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END, '') AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id".replace("coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END, '')", "CASE WHEN l.doc_id IS NULL THEN '' WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END"))
+def discard_reasons_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = S.table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("manual").alias("reason"))
+    return ledger.discard_view(S.table(spark, sf_dir, "documents").select("doc_id"), reasons, "doc_id")
+
+
+@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'x' || o_custkey WHEN o_orderkey % 7 = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS number, o_orderpriority AS book FROM orders WHERE o_orderstatus = 'P')
+SELECT o.o_orderkey, coalesce(CASE WHEN regexp_full_match(c.number, '\\d+') THEN c.book END, o.o_orderpriority) AS book, coalesce(CASE WHEN regexp_full_match(c.number, '\\d+') THEN c.number END, CAST(o.o_orderkey AS VARCHAR)) AS number,
+  CASE WHEN regexp_full_match(c.number, '\\d+') AND c.number <> CAST(o.o_orderkey AS VARCHAR) THEN 'corrected' ELSE 'unchanged' END AS outcome FROM orders o LEFT JOIN c USING (o_orderkey)""".replace("\\\\d", "\\d"))
+def submit_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = S.table(spark, sf_dir, "orders")
+    fixes = o.where("o_orderstatus = 'P'").select("o_orderkey", F.col("o_orderpriority").alias("book"), F.expr("case when o_orderkey % 7 = 0 then concat('x', o_custkey) when o_orderkey % 7 = 1 then cast(o_orderkey as string) else cast(o_custkey as string) end").alias("number"))
+    return ledger.corrected(o.select("o_orderkey", F.col("o_orderpriority").alias("book"), F.col("o_orderkey").cast("string").alias("number")), fixes, "o_orderkey")
+
+
+# Analytics
+
+@query(S.sql("filed dups", "SELECT * FROM dups"))
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.duplicate_groups(S.filed(spark, sf_dir)).orderBy(F.desc("n"), "label", F.expr("try_cast(number as bigint)"))
+
+
+@query(S.sql("outliers", "SELECT * FROM outs"))
+def outlier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.outlier_groups(S.numbered_events(spark, sf_dir)).orderBy("label", F.desc("number"))
+
+
+@query(S.sql("filed dups outliers", """SELECT 'duplicate' AS kind, label, number, n, CAST(NULL AS BIGINT) AS core_lo, CAST(NULL AS BIGINT) AS core_hi FROM dups
+UNION ALL SELECT 'outlier', label, CAST(number AS VARCHAR), n, core_lo, core_hi FROM outs"""))
+def anomaly_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.anomaly_groups(analytics.duplicate_groups(S.filed(spark, sf_dir)), analytics.outlier_groups(S.numbered_events(spark, sf_dir)))
+
+
+@query(S.sql("filed dups", "SELECT kind, count(*) AS n_groups FROM (SELECT 'duplicate' AS kind FROM dups) GROUP BY 1"))
+def anomaly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.duplicate_groups(S.filed(spark, sf_dir)).groupBy(F.lit("duplicate").alias("kind")).agg(F.count("*").alias("n_groups"))
+
+
+@query(S.sql("filed dups", f"SELECT label, number, {KEYS} FROM filed SEMI JOIN dups USING (label, number)"))
+def duplicate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.filed(spark, sf_dir).withColumn("number", text.without_suffix(F.concat("number", F.lit("_2"))))
+    return analytics.group_items(f, analytics.duplicate_groups(f)).select("label", "number", *S.KEY)
+
+
+_AI = "CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE lpad(CAST(l_partkey % 50 AS VARCHAR), 3, '0') END"
+
+
+@query(f"""WITH a AS (SELECT {KEYS}, {_AI} AS number FROM lineitem), n AS (SELECT DISTINCT l_orderkey, regexp_replace(CAST(l_suppkey % 50 AS VARCHAR), '^0+', '') AS z FROM lineitem)
+SELECT a.* FROM a WHERE number <> '' AND EXISTS (SELECT 1 FROM n WHERE n.l_orderkey = a.l_orderkey AND n.z = regexp_replace(a.number, '^0+', ''))""")
+def agreement_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).where("outcome = 'filed'").drop("outcome")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = S.table(spark, sf_dir, "lineitem")
+    answers = l.select(*S.KEY, F.expr(_AI.replace("VARCHAR", "STRING")).alias("number"))
+    return ledger.hybrid_split(answers, l.select("l_orderkey", (F.col("l_suppkey") % 50).cast("string").alias("nomination")), "l_orderkey")
+
+
+@query(f"""WITH a AS (SELECT {KEYS}, {_AI} AS number FROM lineitem), n AS (SELECT DISTINCT l_orderkey, regexp_replace(CAST(l_suppkey % 50 AS VARCHAR), '^0+', '') AS z FROM lineitem)
+SELECT CASE WHEN number = '' THEN 'blank' WHEN EXISTS (SELECT 1 FROM n WHERE n.l_orderkey = a.l_orderkey AND n.z = regexp_replace(a.number, '^0+', '')) THEN 'filed' ELSE 'suggested' END AS outcome, count(*) AS n FROM a GROUP BY 1""")
+def ai_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# Models
+
+CLASSES = ("gas_cylinder", "irrelevant", "da_gas", "liquid_nitrogen", "delivery_challan")
+COEF = [[((c * 31 + j * 17) % 13 - 6) / 10 for j in range(64)] for c in range(5)]
+BIAS = [c / 10 for c in range(5)]
+_COEF = "[" + ", ".join("[" + ", ".join(map(str, row)) + "]" for row in COEF) + "]::DOUBLE[][]"
+_SCORED = f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+m AS (SELECT vec_id, e, list_sum(e) / len(e) AS mu FROM v),
+s AS (SELECT vec_id, e, mu, sqrt(list_sum(list_transform(e, lambda x: (x - mu) * (x - mu))) / len(e)) AS sd FROM m),
+z AS (SELECT vec_id, list_transform(e, lambda x: (x - mu) / (sd + 1e-6::DOUBLE)) AS z FROM s),
+w AS (SELECT unnest(range(5)) AS c, unnest({_COEF}) AS row),
+g AS (SELECT vec_id, c, list_sum(list_transform(range(1, 65), lambda i: z[i] * row[i])) + c / 10 AS g FROM z, w),
+p AS (SELECT vec_id, c, g, exp(g - max(g) OVER (PARTITION BY vec_id)) AS x FROM g),
+q AS (SELECT vec_id, c, x / sum(x) OVER (PARTITION BY vec_id) AS conf, row_number() OVER (PARTITION BY vec_id ORDER BY g DESC, c) AS r FROM p),
+scored AS (SELECT vec_id, ['{"', '".join(CLASSES)}'][c + 1] AS label, conf FROM q WHERE r = 1)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = S.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    z = x.select("vec_id", scoring.standardise(F.col("e")).alias("z"))
+    g = z.select("vec_id", scoring.logits(F.col("z"), COEF, BIAS).alias("g"))
+    return g.select("vec_id", scoring.softmax_best(F.col("g"), CLASSES).alias("b")).select("vec_id", "b.label", "b.conf")
+
+
+@query(f"WITH {_SCORED} SELECT vec_id, label, round(conf, 6) AS conf FROM scored")
+def softmax_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).withColumn("conf", F.round("conf", 6))
+
+
+@query(f"""WITH {_SCORED} SELECT vec_id // 4 AS page_id, vec_id % 4 AS rot_idx, label, round(conf, 6) AS conf FROM scored WHERE label <> 'irrelevant' AND conf >= 0.98::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id % 4) = 1""")
+def rescue_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = _scored(spark, sf_dir).select(F.expr("vec_id div 4").alias("page_id"), (F.col("vec_id") % 4).alias("rot_idx"), "label", "conf")
+    return scoring.rescued(turned, ["page_id"]).withColumn("conf", F.round("conf", 6))
+
+
+_FRAME = "CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 4 WHEN 'signup' THEN 5 ELSE 10 END"
+
+
+@query(f"""WITH f AS (SELECT user_id, event_id, {_FRAME} AS v FROM events), g AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM f)
+SELECT user_id, string_agg(CAST(v - 1 AS VARCHAR), '' ORDER BY event_id) FILTER (WHERE v <> 0 AND (before IS NULL OR before <> v)) AS digits FROM g GROUP BY user_id""")
+def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = S.table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.expr(_FRAME).alias("v")).alias("f"))
+    rows = frames.groupBy("user_id").agg(F.sort_array(F.collect_list("f")).alias("f")).select("user_id", F.transform("f", lambda x: x["v"]).alias("frames"))
+    return rows.select("user_id", scoring.collapse(F.col("frames")).alias("digits"))
+
+
+@query("""WITH r AS (SELECT vec_id // 4 AS page_id, vec_id % 4 AS rot_idx, CASE WHEN vec_id % 3 = 0 THEN 'other' ELSE 'gas_cylinder' END AS type, CASE WHEN label % 4 = 0 THEN label % 3 ELSE 0 END AS n_cands FROM embeddings)
+SELECT page_id, rot_idx, type, n_cands FROM r WHERE n_cands > 0 OR type <> 'other' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN n_cands > 0 THEN 0 ELSE 1 END, rot_idx) = 1""")
+def first_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = S.table(spark, sf_dir, "embeddings").selectExpr("vec_id div 4 as page_id", "vec_id % 4 as rot_idx", "case when vec_id % 3 = 0 then 'other' else 'gas_cylinder' end as type", "case when label % 4 = 0 then label % 3 else 0 end as n_cands")
+    return classify.first_rotation(scans, ["page_id"])
+
+
+SETTINGS = (0.2, 0.5, 0.8, 0.98)
+_SCORE = "CAST(n_chars % 1000 AS DOUBLE) / 1000"
+
+
+@query("\nUNION ALL ".join(f"""SELECT {s}::DOUBLE AS setting, count(*) FILTER (WHERE {_SCORE} >= {s}::DOUBLE AND quality = 1) AS tp, count(*) FILTER (WHERE {_SCORE} >= {s}::DOUBLE AND quality <> 1) AS fp,
+  count(*) FILTER (WHERE {_SCORE} < {s}::DOUBLE AND quality = 1) AS fn, count(*) FILTER (WHERE {_SCORE} < {s}::DOUBLE AND quality <> 1) AS tn FROM documents JOIN labels USING (doc_id)""" for s in SETTINGS))
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", F.expr(_SCORE).alias("score")).join(S.table(spark, sf_dir, "labels"), "doc_id")
+    return analytics.sweep(rows, SETTINGS, F.col("score"), F.col("quality") == 1)
+
+
+@query("""SELECT coalesce(lang, 'all') AS lang, count(*) AS filed, CAST(sum(quality) AS BIGINT) AS correct, CAST(count(*) - sum(quality) AS BIGINT) AS wrong, round(CAST(sum(quality) AS DOUBLE) / count(*), 6) AS precision
+FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""")
+def precision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", "lang").join(S.table(spark, sf_dir, "labels"), "doc_id")
+    return analytics.precision(rows, "lang", F.col("quality") == 1)
+
+
+@query("""WITH r AS (SELECT n_chars % 3 AS a, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE n_chars % 2 END AS b, quality FROM documents JOIN labels USING (doc_id))
+SELECT CASE WHEN b IS NULL THEN 'declined' WHEN a = b THEN 'agree' WHEN a = quality THEN 'disagree_right' ELSE 'disagree_wrong' END AS outcome, count(*) AS n FROM r GROUP BY 1""")
+def reader_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(S.table(spark, sf_dir, "labels"), "doc_id")
+    n = F.col("n_chars")
+    return analytics.reader_confusion(rows, n % 3, F.when(n % 5 != 0, n % 2), F.col("quality"))
+
+
+@query("""SELECT CASE CAST(substr(source, 4) AS INT) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT source) AS bundles FROM documents GROUP BY 1""")
+def bundle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.expr("case cast(substr(source, 4) as int) % 5 when 0 then 'test' when 1 then 'valid' else 'train' end")
+    by = S.table(spark, sf_dir, "documents").groupBy(split.alias("split"), "source").agg(F.count("*").alias("n"))
+    return by.groupBy("split").agg(F.sum("n").alias("n"), F.count("*").alias("bundles"))
+
+
+# Calls and streams
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, i, event_id, TRUE AS admitted, [t] AS live FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.event_id, len(list_filter(f.live, lambda x: x > o.t - 86400)) < 2,
+    CASE WHEN len(list_filter(f.live, lambda x: x > o.t - 86400)) < 2 THEN list_append(list_filter(f.live, lambda x: x > o.t - 86400), o.t) ELSE list_filter(f.live, lambda x: x > o.t - 86400) END
+  FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, event_id, admitted FROM f""")
+def rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = S.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return admission.admitted(calls, "user_id", cap=2).select("user_id", F.col("id").alias("event_id"), "admitted")
+
+
+@query("WITH n AS (SELECT max(epoch_us(ts)) AS m FROM events) SELECT user_id, count(*) FILTER (WHERE epoch_us(ts) > m - 86400000000) AS n FROM events, n GROUP BY user_id")
+def calls_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = S.table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    now = calls.agg(F.max("t").alias("now"))
+    return analytics.calls_within(calls.crossJoin(F.broadcast(now)), ["user_id"], F.col("now"), 86400 * 1_000_000)
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_stream.append_log(spark, f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_stream.resumed(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
