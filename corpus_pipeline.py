@@ -30,8 +30,8 @@ def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, fingerprints within 2 bits."""
-    return simhash.drop_near_duplicates(docs, size=5, radius=2)
+    """One document of each group of near duplicates: five-word shingles, fingerprints within 2 bits or a similarity of 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, size=5, radius=2, similarity=0.8)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,19 +36,28 @@ SAMPLE, LEAF, MOST_SHARDS = 8192, 2048, 4096
 DIRECT, MEMBERS = 96, 1000
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a whole text."""
+def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text, in order; of all words if they are fewer than size."""
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return np.empty(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+
+
+def bits_of(h: np.ndarray) -> int:
+    """Fingerprint whose bits are set where over half the hashes have them set; zero for none."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a whole text."""
+    return bits_of(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, fp (signed long) of each row."""
 
@@ -243,9 +252,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     return fps.join(classes, "fp", "left").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with only the smallest id of each component; rows that repeat an id and text count once."""
-    found = near_duplicates(docs, size, radius, id_col, text_col)
+def drop_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 2, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with only the smallest id of each component; rows that repeat an id and text count once.
+
+    Components link fingerprints within radius bits and, unless similarity is None, texts whose shingles are at least so similar.
+    """
+    from .similar import similar_classes
+
+    found = near_duplicates(docs, size, radius, id_col, text_col) if similarity is None else similar_classes(docs, size, radius, similarity, id_col, text_col)
     keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
     return kept.dropDuplicates([id_col, text_col])
