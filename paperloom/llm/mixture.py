@@ -142,12 +142,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs as mixed: a row for each copy taken."""
-    counted = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options).docs.groupBy("id", "key").agg(F.max("copies").alias("__n"))
-    counted = counted.where("__n > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__n")
-    keyed = docs.withColumn("__own", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    both = keyed.join(counted, (F.col("__own") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """docs as mixed: a row for each copy taken. Copies of rows that repeat an id and text are dealt evenly among them."""
+    lowest = F.lit(-(1 << 63))
+    mixed = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options).docs
+    counted = mixed.groupBy(F.col("key").alias("__key"), F.coalesce("id", lowest).alias("__id")).agg(F.sum("copies").alias("__n"), F.count("*").alias("__m")).where("__n > 0")
+    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), lowest))
+    both = keyed.join(counted, ["__key", "__id"])
+    rank = F.row_number().over(Window.partitionBy("__key", "__id").orderBy("__key"))
+    times = F.expr("__n div __m") + (rank <= F.col("__n") % F.col("__m")).cast("long")
+    both = both.withColumn("__times", times).where("__times > 0")
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
