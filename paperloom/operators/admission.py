@@ -8,6 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.params import CALL_CAP, CALL_WINDOW
@@ -30,14 +31,26 @@ def _with_flag(rows: DataFrame) -> T.StructType:
 
 
 def admitted(attempts: DataFrame, key: str, cap: int = CALL_CAP, window: float = CALL_WINDOW) -> DataFrame:
-    """attempts (key, id, t) with admitted. The rule is recursive, so a key's attempts are folded in one group; keys are independent."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "id"], ignore_index=True)
-        return part.assign(admitted=admit(part["t"].tolist(), cap, window)[0])
-
-    rows = attempts.select(key, "id", "t")
-    return rows.groupBy(key).applyInPandas(fold, _with_flag(rows))
+    """attempts (key, id, t) with admitted.
+
+    The rule is recursive, so a key's attempts are taken one after the other.
+    They stream through a task in order, batch by batch: it holds the admitted
+    calls of one key that still count, cap at most, and never a whole key.
+    """
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, live = None, []
+        for part in parts:
+            flags = []
+            for _, own in part.groupby((part[key] != part[key].shift()).cumsum(), sort=False):
+                now = own[key].iloc[0]
+                some, live = admit(own["t"].tolist(), cap, window, live if last == (now,) else None)
+                last = (now,)
+                flags += some
+            yield part.assign(admitted=flags)
+
+    rows = attempts.where(F.col(key).isNotNull()).select(key, "id", "t")
+    return rows.repartition(key).sortWithinPartitions(key, "t", "id").mapInPandas(fold, _with_flag(rows))
 
 
 def admitted_stream(attempts: DataFrame, key: str, cap: int = CALL_CAP, window: float = CALL_WINDOW) -> DataFrame:
