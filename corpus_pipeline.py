@@ -17,15 +17,29 @@ from paperloom.llm.common import as_table
 MIN_SCORE = 0.4
 
 
+def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names renamed, and how to name them again."""
+    back = {f"__own_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network learned from those labelled; the others, und and texts without a clear one, go."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents in a language that the network learned from those labelled; the others, und and texts without a clear one, go.
+
+    Without a labelled document nothing can be told, and all stay.
+    """
+    net = language.fit(docs)
+    if not net.langs:
+        return docs
+    own, back = _apart(docs, "lang_pred", "score")
+    found = language.identify(own, net).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return found.drop("lang_pred", "score").withColumnsRenamed(back).select(*docs.columns)
 
 
 def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that too many sources share; n_chars follows the text."""
-    out = line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    own, back = _apart(docs, "removed_lines")
+    out = line_dedup.remove_boilerplate(own).drop("removed_lines").withColumnsRenamed(back).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -40,7 +54,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def merge_dropout(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with token_ids, and lossless: whether they decode to the text."""
+    """All documents with token_ids, and lossless: whether they decode to the text; columns of these names are replaced."""
     return pieces.encode(docs)
 
 

@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, on the smallest table."""
 
+import pytest
+
 import corpus_pipeline
 from paperloom.llm import pieces, simhash
 from paperloom.llm.common import as_table
@@ -26,3 +28,31 @@ def test_stages(spark, sf_dir):
     p = pieces.model(pieces.MODEL)
     assert len(encoded) == len(mixed) and all(r["lossless"] for r in encoded)
     assert b"".join(p.out[i] for i in encoded[0]["token_ids"]).decode()[1:] == encoded[0]["text"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_cases(spark, empty):
+    """Nulls, repeated rows, long and empty texts, and columns with the operators' own names."""
+    text = "the quick brown fox jumps over the lazy dog. " * 3
+    rows = [(i, f"{text}\nline {i} of many words here", "en", f"s{i % 3}") for i in range(20)] + [(20 + i, f"der schnelle braune fuchs springt {i}\nviele worte", "de", None) for i in range(20)]
+    rows += [(None, text, None, "s1"), (50, None, "en", "s1"), (51, "", None, None), (52, "123 456", "en", "s1"), (0, rows[0][1], "en", "s0"), (53, "fox " * 100_000, "en", "s2")]
+    extra = "score string, lang_pred int, removed_lines string, key int, id int, fp int, size int, copies int, bands int, __x int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "own", 1, "r", 2, 3, 4, 5, 6, 7, 8) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs = docs.limit(0) if empty else docs
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = as_table(stage(spark, docs, "unused"), name)
+        out = docs.collect()
+        assert docs.columns[: len(columns)] == columns
+        assert all((r["score"], r["lang_pred"], r["removed_lines"], r["key"], r["__x"]) == ("own", 1, "r", 2, 8) for r in out)
+        ids = [r["doc_id"] for r in out]
+        if name == "language_id" and not empty:
+            assert len(ids) == len(rows) - 3 and not {50, 51, 52} & set(ids)
+        if name == "near_duplicates" and not empty:
+            assert ids.count(0) == 1 and 53 in ids
+    assert bool(out) != empty and all(r["lossless"] for r in out)
+
+
+def test_without_labels_all_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, docs, "").count() == 2
