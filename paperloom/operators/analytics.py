@@ -10,24 +10,40 @@ from pyspark.sql import functions as F
 from paperloom.functions.params import DUPLICATES, OUTLIER_LEAST, OUTLIER_MARGIN
 from paperloom.functions.text import all_digits
 
+#: Approximate quantiles that split a book's numbers before they are ranked.
+CUTS = 200
+
 
 def duplicate_groups(filed: DataFrame, least: int = DUPLICATES) -> DataFrame:
     """Columns label, number, n for numbers (as written, zeros count) that a book has at least so often."""
     return filed.where(all_digits(F.col("number"))).groupBy("label", "number").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def outlier_groups(filed: DataFrame, least: int = OUTLIER_LEAST, margin: float = OUTLIER_MARGIN) -> DataFrame:
-    """Columns label, number (long), n, core_lo, core_hi: numbers far outside their book's core.
+def core_ranges(counted: DataFrame, least: int = OUTLIER_LEAST) -> DataFrame:
+    """Columns label, core_lo, core_hi from distinct (label, number): the numbers at two ranks of each book, exactly.
 
-    The core runs between two ranks of the sorted distinct numbers. Numbers are
-    counted before they are ranked; a book's distinct numbers meet in one window.
+    No task sorts a whole book: approximate quantiles deal its numbers to
+    buckets, bucket counts tell which two hold the ranks, and only those are
+    ranked within.
     """
+    steps = F.array(*(F.lit(i / CUTS) for i in range(1, CUTS)))
+    cuts = counted.groupBy("label").agg(F.count("*").alias("u"), F.percentile_approx("number", steps, 50 * CUTS).alias("cuts")).where(F.col("u") >= least)
+    placed = counted.join(cuts, "label").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("number"))))
+    sized = placed.groupBy("label", "u", "bucket").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("lo", F.expr("u div 20")).withColumn("hi", F.expr("u * 19 div 20 - 1"))
+    holds = lambda i: (F.col("before") <= F.col(i)) & (F.col(i) < F.col("before") + F.col("m"))
+    wanted = sized.where(holds("lo") | holds("hi")).select("label", "bucket", "before", "lo", "hi")
+    inside = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("number")) - 1 + F.col("before")
+    ranked = placed.select("label", "bucket", "number").join(wanted, ["label", "bucket"]).withColumn("i", inside)
+    return ranked.groupBy("label").agg(F.max(F.when(F.col("i") == F.col("lo"), F.col("number"))).alias("core_lo"), F.max(F.when(F.col("i") == F.col("hi"), F.col("number"))).alias("core_hi"))
+
+
+def outlier_groups(filed: DataFrame, least: int = OUTLIER_LEAST, margin: float = OUTLIER_MARGIN) -> DataFrame:
+    """Columns label, number (long), n, core_lo, core_hi: numbers far outside their book's core, the range between two ranks of its distinct numbers."""
     numbers = filed.where(all_digits(F.col("number"))).select("label", F.expr("try_cast(number as bigint)").alias("number")).where("number is not null")
     counted = numbers.groupBy("label", "number").agg(F.count("*").alias("n"))
-    book = Window.partitionBy("label")
-    ranked = counted.withColumn("i", F.row_number().over(book.orderBy("number")) - 1).withColumn("u", F.count("*").over(book))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("number"))).over(book)
-    cored = ranked.where(F.col("u") >= least).withColumn("core_lo", at(F.expr("u div 20"))).withColumn("core_hi", at(F.expr("u * 19 div 20 - 1")))
+    cored = counted.join(core_ranges(counted, least), "label")
     slack = F.lit(margin) * F.greatest(F.lit(1), F.col("core_hi") - F.col("core_lo"))
     return cored.where((F.col("number") < F.col("core_lo") - slack) | (F.col("number") > F.col("core_hi") + slack)).select("label", "number", "n", "core_lo", "core_hi")
 
