@@ -25,15 +25,15 @@ MIN_SITES = 10
 LG_K, NEAR = 12, 0.1
 
 
-def _exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """Columns id, key, site, pos, h for each line with a word, written once: texts are split and hashed in one pass."""
     at = F.posexplode(F.transform(lines(F.col(text_col)), line_hash)).alias("pos", "h")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), at)
-    return rows.where("h is not null")
+    return as_table(rows.where("h is not null"), "lines")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """Columns h, owner: hash of each line that at least min_sites sites have, and the smallest id that has it."""
-    rows = _exploded(docs, id_col, text_col, site_col)
+def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Columns h, owner from a line table: hash of each line that at least min_sites sites have, and the smallest id that has it."""
     spread = rows.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("id").alias("owner"))
     spread = as_table(spread.where(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
     near = spread.where(F.col("sites") <= min_sites * (1 + NEAR))
@@ -44,8 +44,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with cleaned texts, and a column removed_lines."""
-    found = boilerplate(docs, min_sites, id_col, text_col, site_col)
-    rows = _exploded(docs, id_col, text_col, site_col).select("h", "id", "key", "pos")
+    rows = line_table(docs, id_col, text_col, site_col)
+    found = boilerplate(rows, min_sites)
     marks = rows.join(found, "h").where(F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner")))
     marks = marks.groupBy(F.col("key").alias("__key"), F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
     keyed = docs.withColumn("__key_of", F.xxhash64(id_col, text_col))

@@ -136,7 +136,7 @@ def test_line_dedup(spark, monkeypatch):
 
 def test_line_spread_near_threshold_is_exact(spark):
     rows = [(1000 * n + k, f"line {n}", f"s{k}") for n in range(8, 13) for k in range(n)]
-    found = line_dedup.boilerplate(docs(spark, rows)).collect()
+    found = line_dedup.boilerplate(line_dedup.line_table(docs(spark, rows))).collect()
     assert sorted(r["owner"] for r in found) == [10000, 11000, 12000]
 
 
