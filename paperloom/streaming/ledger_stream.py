@@ -15,9 +15,12 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, or a temporary one where it is unset, as in tests; it goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledger-")
-    return f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000, archive: str | None = None) -> DataFrame:
