@@ -56,3 +56,12 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._table_path)
+
+
+def within_sample(order: Column, total: int, wanted: int) -> Column:
+    """Whether a row's hash is low enough to be among the wanted smallest of total; twice as many pass.
+
+    What follows, a sort and a limit, then moves few rows to the driver, however many tasks there are.
+    """
+    bar = (1 << 30) if total <= 2 * wanted else max(1, (2 * wanted << 30) // total)
+    return F.pmod(F.shiftrightunsigned(order, 34), F.lit(1 << 30)) < bar

@@ -2,8 +2,8 @@
 
 The network reads the bytes of a word in lower case, with a space on each side,
 in both directions and labels every position with the probability of each
-language; a document's probability is the mean over all its positions. Words
-over WINDOW bytes are read in windows. It is trained on the driver, in numpy,
+language; a document's probability is the mean over the positions of all its
+words that have a letter. Words over WINDOW bytes are read in windows. It is trained on the driver, in numpy,
 by backpropagation through time, on a bounded sample of labelled rows: FIT_DOCS
 rows with the smallest hashes, FIT_CHARS code points of each. What a word adds
 depends on its bytes alone, so a task keeps the sums of up to MEMO words.
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, within_sample
 
 FIT_DOCS, FIT_CHARS = 4000, 1500
-HIDDEN, STEPS, WORDS, RATE, SEED = 20, 700, 384, 0.01, 11
+HIDDEN, STEPS, WORDS, RATE, SEED = 20, 400, 384, 0.01, 11
 WINDOW, MEMO, ROWS = 32, 300_000, 500
 UNKNOWN = "und"
 
@@ -175,6 +175,7 @@ class Reader:
             p = probabilities(self.net, x, active) * (np.arange(len(some))[None, :] < active[:, None])[:, :, None]
             owner = np.array([i for _, i in some])
             np.add.at(sums, owner, np.concatenate([p.sum(0), [[len(s)] for s, _ in some]], 1))
+        sums[[not any(map(str.isalpha, word)) for word in words]] = 0
         start = len(self.seen)
         self.seen.update((word, start + i) for i, word in enumerate(words))
         self.sums = np.concatenate([self.sums, sums])
@@ -204,9 +205,11 @@ def _fold(id_col: Column, folds: int) -> Column:
 
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net:
     """Network trained on labelled rows outside the held fold."""
-    rows = docs.where((_fold(F.col(id_col), folds) != held) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.left(text_col, F.lit(FIT_CHARS)).alias("text"), F.xxhash64(F.lit(SEED), id_col, text_col).alias("o"))
-    return train([(r["lang"], r["text"]) for r in rows.orderBy("o", "lang", "text").limit(FIT_DOCS).select("lang", "text").collect()])
+    labelled = docs.where((_fold(F.col(id_col), folds) != held) & F.col(lang_col).isNotNull())
+    order = F.xxhash64(F.lit(SEED), F.col(id_col))
+    rows = labelled.where(F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.left(text_col, F.lit(FIT_CHARS)).alias("text"), order.alias("o"))
+    rows = rows.where(within_sample(F.col("o"), labelled.count(), FIT_DOCS)).orderBy("o", "lang", "text").limit(FIT_DOCS)
+    return train([(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()])
 
 
 def identify(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
