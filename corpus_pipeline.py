@@ -14,7 +14,7 @@ from paperloom.llm import language, line_dedup, mixture, pieces, simhash
 from paperloom.llm.common import as_table
 
 #: A document whose best language has less than this mean probability is rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.35
 
 
 def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
