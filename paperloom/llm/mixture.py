@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_table, documents, words
 
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3, 17
-BUCKETS = 4096
+BUCKETS = 512
 #: Words that the dynamic programme fits, at least; the shares by length leave it about so many.
 WINDOW = 50_000
 MAX_SOURCES = 1_000_000
