@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, documents
+from .common import as_table, documents, within_sample
 from .components import connected_components
 
 SEED = 42
@@ -220,7 +220,8 @@ def fingerprint_classes(fps: DataFrame, radius: int = 2) -> DataFrame:
     spark = fps.sparkSession
     distinct = as_table(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
     total = distinct.count()
-    sample = distinct.select("fp", F.xxhash64("fp", F.lit(7)).alias("o")).orderBy("o").limit(SAMPLE).toPandas()
+    sample = distinct.select("fp", F.xxhash64("fp", F.lit(7)).alias("o")).where(within_sample(F.col("o"), total, SAMPLE))
+    sample = sample.orderBy("o").limit(SAMPLE).toPandas()
     points = sample["fp"].to_numpy(np.int64).view(np.uint64)
     tree, leaves = routing_tree(points, total, radius)
 
