@@ -4,16 +4,20 @@ Texts whose word shingles have a Jaccard similarity of 0.8 differ in about ten
 of 64 fingerprint bits; at such a radius the triangle inequality rules out no
 branch of a vantage-point tree, since unrelated fingerprints differ in 32 bits
 with a deviation of 4. So classes within a few bits come from the trees, and
-classes are compared with each other: BANDS bands of ROWS minhashes propose
+texts are compared with each other: BANDS bands of ROWS minhashes propose
 pairs, the exact similarity of the whole texts decides, and links join classes.
-A pair of similarity 0.8 is proposed with probability 0.999.
+A pair of similarity 0.8 is proposed with probability 0.9993.
 
-A bucket of up to PAIRED classes proposes all its pairs; in a larger one each
-class is compared with CENTRES of them, chosen by hash anew in each band, and
+A node is a set of shingles: only texts with the same set are taken together,
+whatever their ids, and each set is compared, not one for a class. Pairs that
+the trees have joined already are left out.
+
+A bucket of up to PAIRED nodes proposes all its pairs; in a larger one each
+node is compared with CENTRES of them, chosen by hash anew in each band, and
 meets the rest through those.
 
-Cases: as in simhash; texts without a word are one class; classes whose only
-ids are null are not compared.
+Cases: as in simhash; texts without a word are one class; rows with a null id
+are compared like any other.
 """
 
 from __future__ import annotations
@@ -37,6 +41,11 @@ PAIRED, CENTRES = 32, 3
 SEED = 29
 
 
+def node_of(h: np.ndarray) -> int:
+    """Signed hash of a set of shingle hashes, sorted."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64))
+
+
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
     return r.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -54,13 +63,14 @@ def bands_of(h: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i)).astype(np.int64)) for i in range(0, len(least), ROWS)]
 
 
-def jaccard(a: str, b: str, size: int) -> float:
-    x, y = set(shingle_hashes(a, size).tolist()), set(shingle_hashes(b, size).tolist())
-    return len(x & y) / max(1, len(x | y))
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingle hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Columns id, fp, bands of each row."""
+    """Columns id, said (hash of the text), fp, node, bands of each row."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
@@ -68,42 +78,69 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                 b = whole.slice(i, 1000)
                 hashes = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
                 fps = np.array([bits_of(h) for h in hashes], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps), pa.array([bands_of(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+                nodes = [node_of(np.unique(h)) for h in hashes]
+                columns = [b.column("id"), b.column("said"), pa.array(fps), pa.array(nodes, pa.int64()), pa.array([bands_of(h) for h in hashes], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "said", "fp", "node", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("said"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, said long, fp long, node long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Columns node, class, shingles (sorted hashes, packed) for wanted (node, class, row), where row (id, said) has a text of the node."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            packed = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("class"), pa.array(packed, pa.binary())], names=["node", "class", "shingles"])
+
+    w = wanted.select("node", "class", F.col("row.id").alias("w_id"), F.col("row.said").alias("w_said"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("said"), F.col(text_col).alias("text"))
+    texts = texts.join(w, (texts["said"] == w["w_said"]) & texts["id"].eqNullSafe(w["w_id"])).groupBy("node", "class").agg(F.max("text").alias("text"))
+    return texts.mapInArrow(run, "node long, class long, shingles binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, bands array<long>")
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """Columns bucket, n (its nodes), c0.. (centres), node, class of nodes (node, class, bands) in buckets of more than one class."""
+    rows = nodes.select("node", "class", F.posexplode("bands").alias("band", "value")).select("node", "class", F.xxhash64("band", "value").alias("bucket"))
+    centre = [F.min_by(F.struct("node", "class"), F.xxhash64("node", "bucket", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), *centre).where("lo <> hi").drop("lo", "hi")
+    return as_table(rows.join(buckets, "bucket"), "buckets")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Columns a < b of nodes (node, bands) that share a band."""
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    centre = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), *centre).where("n > 1")
-    met = as_table(rows.join(buckets, "bucket"), "buckets")
-    few = met.where(F.col("n") <= PAIRED).select("bucket", "node")
-    pairs = [few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))]
+def candidate_pairs(met: DataFrame) -> DataFrame:
+    """Columns a < b of nodes of different classes that share a bucket; in a large one, of each with the centres."""
+    few = met.where(F.col("n") <= PAIRED).select("bucket", "node", "class")
+    pairs = [few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))]
     many = met.where(F.col("n") > PAIRED)
-    pairs += [many.select(F.least("node", f"c{i}").alias("a"), F.greatest("node", f"c{i}").alias("b")) for i in range(CENTRES)]
-    return reduce(DataFrame.union, pairs).where("a < b").distinct()
+    pairs += [many.where(F.col("class") != F.col(f"c{i}.class")).select(F.least("node", f"c{i}.node").alias("a"), F.greatest("node", f"c{i}.node").alias("b")) for i in range(CENTRES)]
+    return reduce(DataFrame.union, pairs).distinct()
 
 
 def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Columns id, fp, component_id: one row for each row of docs."""
     rows = as_table(signatures(docs, size, id_col, text_col), "signatures")
-    classes = fingerprint_classes(rows.select("id", "fp"), radius)
-    first = rows.join(classes, "fp").where(F.col("id") == F.col("component_id"))
-    nodes = first.groupBy(F.col("id").alias("node")).agg(F.max("bands").alias("bands"))
-    pairs = as_table(candidate_pairs(nodes), "pairs")
+    near = fingerprint_classes(rows.select(F.col("node").alias("id"), "fp"), radius).withColumnRenamed("component_id", "class")
+    seen = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "said")).alias("row"), F.max("bands").alias("bands")).join(near, "fp")
+    seen = as_table(seen, "seen")
+    nodes = as_table(seen.groupBy("node").agg(F.min("class").alias("class"), F.min("row").alias("row"), F.max("bands").alias("bands")), "nodes")
+    same = seen.select("node", F.col("class").alias("b")).join(nodes.select("node", F.col("class").alias("a")), "node").where("a <> b").select("a", "b")
+
+    met = bucketed(nodes)
+    pairs = as_table(candidate_pairs(met), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).join(needed, "node", "left_semi")
-    texts = as_table(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
+    sets = as_table(shingle_sets(docs, nodes.join(needed, "node", "left_semi"), size, id_col, text_col), "sets")
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, size) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = connected_components(both.where(alike("text_a", "text_b")).select("a", "b"))
-    named = classes.join(roots, classes["component_id"] == roots["node"], "left").select("fp", F.coalesce("root", "component_id").alias("component_id"))
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("shingles").alias("shingles_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("shingles").alias("shingles_b")), "b")
+    links = both.where(alike("shingles_a", "shingles_b")).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    roots = connected_components(links.union(same)).select(F.col("node").alias("class"), "root")
+    named = nodes.select("node", "class").join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("root"))
     named = as_table(named, "named")
-    return rows.select("id", "fp").join(named, "fp", "left").select("id", "fp", "component_id")
+    least = rows.groupBy("node").agg(F.min("id").alias("first")).join(named, "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    names = as_table(named.join(least, "root").select("node", "component_id"), "names")
+    return rows.select("id", "fp", "node").join(names, "node", "left").select("id", "fp", "component_id")

@@ -287,3 +287,24 @@ def test_similar(spark, sf_dir, monkeypatch):
     kept = simhash.drop_near_duplicates(docs)
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 0, 60, 61]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_similar_to_any_member_of_a_class(spark):
+    """A text similar to a member of a fingerprint class, but not to the one with the smallest id, is linked; so are null ids and texts that share an id."""
+    r = np.random.default_rng(3)
+    apart = lambda a, b: (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count()
+    while True:
+        a = [f"w{r.integers(1 << 30)}" for _ in range(300)]
+        b = [f"x{i}" if i % 35 == 3 else w for i, w in enumerate(a)]
+        c = [f"y{i}" if i % 60 == 20 else w for i, w in enumerate(b)]
+        a, b, c = map(" ".join, (a, b, c))
+        radius = apart(a, b)
+        if min(apart(b, c), apart(a, c)) > radius:
+            break
+    other = " ".join(f"o{i}" for i in range(50))
+    docs = spark.createDataFrame([(0, a), (1, b), (2, c), (3, other)], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in similar.similar_classes(docs, 5, radius, 0.8, "doc_id", "text").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    docs = spark.createDataFrame([(1, b), (7, c), (7, "z " + other), (None, c), (9, "z y " + other)], "doc_id long, text string")
+    got = sorted((-1 if r["id"] is None else r["id"], r["component_id"]) for r in similar.similar_classes(docs, 5, 0, 0.8, "doc_id", "text").collect())
+    assert got == [(-1, 1), (1, 1), (7, 1), (7, 7), (9, 7)]
