@@ -12,9 +12,12 @@ A node is a set of shingles: only texts with the same set are taken together,
 whatever their ids, and each set is compared, not one for a class. Pairs that
 the trees have joined already are left out.
 
-A bucket of up to PAIRED nodes proposes all its pairs; in a larger one each
-node is compared with CENTRES of them, chosen by hash anew in each band, and
-meets the rest through those.
+A bucket of up to PAIRED nodes proposes all its pairs. In a larger one each
+node is compared with CENTRES of them first, chosen by hash anew in each band.
+What that joins need not be compared again; all other pairs are, exactly: the
+bucket is dealt to blocks of about BLOCK nodes, and a task compares two blocks.
+Nodes joined already share blocks of their own if they are many, so a large
+group costs no more than its pairs with others.
 
 Cases: as in simhash; texts without a word are one class; rows with a null id
 are compared like any other.
@@ -34,10 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import as_table
 from .components import connected_components
-from .simhash import bits_of, fingerprint_classes, shingle_hashes
+from .simhash import Groups, bits_of, fingerprint_classes, shingle_hashes
 
 BANDS, ROWS = 24, 6
-PAIRED, CENTRES = 32, 3
+PAIRED, CENTRES, BLOCK = 32, 3, 512
+#: Shingles that a comparison of two blocks holds as columns at once.
+COLUMNS = 8192
 SEED = 29
 
 
@@ -117,6 +122,55 @@ def candidate_pairs(met: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, pairs).distinct()
 
 
+def block_pairs(large: DataFrame) -> DataFrame:
+    """Columns job, side, node, root for rows (bucket, node, root): each pair of nodes of a bucket with different roots meets in a job, on side 0 or on both.
+
+    A root with over BLOCK nodes of a bucket has blocks to itself, which don't meet each other.
+    """
+    sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    small = F.coalesce(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))), F.lit(0))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("roots"), small.alias("small")).where("roots > 1").drop("roots")
+    own = F.when(F.col("c") > BLOCK, F.col("root"))
+    part = F.when(own.isNotNull(), F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("root", F.lit(5)), F.ceil(F.col("small") / BLOCK)))
+    placed = large.join(sizes.join(mixed, "bucket"), ["bucket", "root"]).select("bucket", "node", "root", own.alias("own"), part.alias("part"))
+    placed = placed.withColumn("block", F.xxhash64("bucket", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "part"))
+    placed = as_table(placed, "blocks")
+    blocks = placed.select("bucket", "own", "block").distinct()
+    jobs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")))
+    jobs = jobs.where("x.own is null or y.own is null or x.own <> y.own").select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).withColumn("job", F.xxhash64("a", "b"))
+    sides = jobs.select("job", F.lit(0).alias("side"), F.col("a").alias("block")).union(jobs.where("a <> b").select("job", F.lit(1), "b"))
+    return sides.join(placed.select("block", "node", "root"), "block").select("job", "side", "node", "root")
+
+
+def linked_roots(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Rows a, b of roots that the similar pairs of a job join; exact, a row at most for each node."""
+    n = len(part)
+    sets = [np.frombuffer(x, "<u8") for x in part["shingles"]]
+    lens = np.array([len(x) for x in sets])
+    roots, root = np.unique(part["root"].to_numpy(np.int64), return_inverse=True)
+    one = np.flatnonzero(part["side"].to_numpy() == 0)
+    two = np.flatnonzero(part["side"].to_numpy() == 1)
+    two = two if len(two) else one
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[at] > 1  # what one set has alone is in no intersection
+    owner, column = np.repeat(np.arange(n), lens)[shared], (np.cumsum(count > 1) - 1)[at[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(one), len(two)))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [c, c + COLUMNS])
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[owner[i:j], column[i:j] - c] = 1
+        common += has[one] @ has[two].T
+    alike = common / np.maximum(1, lens[one][:, None] + lens[two][None, :] - common) >= similarity
+    a, b = np.nonzero(alike & (root[one][:, None] != root[two][None, :]))
+    groups = Groups(len(roots))
+    groups.join(root[one][a], root[two][b])
+    up = groups.flat()
+    moved = np.flatnonzero(up != np.arange(len(up)))
+    return pd.DataFrame({"a": roots[up[moved]], "b": roots[moved]})
+
+
 def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Columns id, fp, component_id: one row for each row of docs."""
     rows = as_table(signatures(docs, size, id_col, text_col), "signatures")
@@ -141,6 +195,15 @@ def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float,
     roots = connected_components(links.union(same)).select(F.col("node").alias("class"), "root")
     named = nodes.select("node", "class").join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("root"))
     named = as_table(named, "named")
+
+    large = met.where(F.col("n") > PAIRED).select("bucket", "node").join(named, "node")
+    tasks = as_table(block_pairs(large), "tasks")
+    if not tasks.isEmpty():
+        sets = as_table(shingle_sets(docs, nodes.join(tasks.select("node").distinct(), "node", "left_semi"), size, id_col, text_col), "sets")
+        found = tasks.join(sets.select("node", "shingles"), "node").groupBy("job").applyInPandas(lambda p: linked_roots(p, similarity), "a long, b long")
+        joined = connected_components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        named = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named")
+
     least = rows.groupBy("node").agg(F.min("id").alias("first")).join(named, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     names = as_table(named.join(least, "root").select("node", "component_id"), "names")
     return rows.select("id", "fp", "node").join(names, "node", "left").select("id", "fp", "component_id")

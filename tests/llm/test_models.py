@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,38 @@ def test_similar_to_any_member_of_a_class(spark):
     docs = spark.createDataFrame([(1, b), (7, c), (7, "z " + other), (None, c), (9, "z y " + other)], "doc_id long, text string")
     got = sorted((-1 if r["id"] is None else r["id"], r["component_id"]) for r in similar.similar_classes(docs, 5, 0, 0.8, "doc_id", "text").collect())
     assert got == [(-1, 1), (1, 1), (7, 1), (7, 7), (9, 7)]
+
+
+def test_similar_in_large_buckets(spark, monkeypatch):
+    """Texts on one template, each similar to one other text only: every pair is found, though few of them are centres."""
+    monkeypatch.setattr(similar, "PAIRED", 4)
+    monkeypatch.setattr(similar, "BLOCK", 16, raising=False)
+    r = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(60):
+        own = [f"p{k}_{i}" for i in range(30)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[:-6] + [f"q{k}_{i}" for i in range(6)]))]
+        tail = [f"s{k}_{i}" for i in range(60)]
+        rows[-2:] = [(i, f"{t} {' '.join(tail)}") for i, t in rows[-2:]]
+    docs = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "doc_id long, text string")
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    links = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert links == {(2 * k, 2 * k + 1) for k in range(60)}
+    got = {r["id"]: r["component_id"] for r in similar.similar_classes(docs, 5, 0, 0.8, "doc_id", "text").collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
+def test_linked_roots():
+    """A job joins what a plain comparison of all pairs joins, with one side and with two."""
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 12, r.integers(1, 14)).astype("<u8")) for _ in range(80)]
+    for side in (np.zeros(80, int), np.arange(80) % 2):
+        rows = pd.DataFrame({"side": side, "node": np.arange(80), "root": np.arange(80) // 3 + 100, "shingles": [x.tobytes() for x in sets]})
+        up = {i: i for i in range(100, 127)}
+        for a, b in itertools.combinations(range(80), 2):
+            if (side[a] != side[b] or not side.any()) and similar.jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = up[a // 3 + 100], up[b // 3 + 100]
+                up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+        got = similar.linked_roots(rows, 0.8)
+        assert dict(zip(got["b"], got["a"])) == {k: v for k, v in up.items() if k != v}
