@@ -55,6 +55,11 @@ def anomaly_groups(duplicates: DataFrame, outliers: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def anomaly_totals(groups: DataFrame) -> DataFrame:
+    """Columns kind, n_groups of anomaly groups."""
+    return groups.groupBy("kind").agg(F.count("*").alias("n_groups"))
+
+
 def group_items(filed: DataFrame, groups: DataFrame) -> DataFrame:
     """The filed pages of groups (label, number)."""
     return filed.join(groups.select("label", "number"), ["label", "number"], "left_semi")

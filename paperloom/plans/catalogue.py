@@ -349,6 +349,11 @@ def anomaly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.duplicate_groups(S.filed(spark, sf_dir)).groupBy(F.lit("duplicate").alias("kind")).agg(F.count("*").alias("n_groups"))
 
 
+@query(S.sql("filed dups outliers", "SELECT kind, count(*) AS n_groups FROM (SELECT 'duplicate' AS kind FROM dups UNION ALL SELECT 'outlier' FROM outs) GROUP BY 1"))
+def anomaly_kind_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.anomaly_totals(anomaly_groups(spark, sf_dir))
+
+
 @query(S.sql("filed dups", f"SELECT label, number, {KEYS} FROM filed SEMI JOIN dups USING (label, number)"))
 def duplicate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = S.filed(spark, sf_dir).withColumn("number", text.without_suffix(F.concat("number", F.lit("_2"))))

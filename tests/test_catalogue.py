@@ -42,3 +42,10 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["kind", "label", "number", "n", "core_lo", "core_hi"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_anomaly_kind_totals(spark, sf_dir):
+    """Both kinds are counted, as anomaly_groups holds them."""
+    groups = catalogue.QUERIES["anomaly_groups"](spark, sf_dir).toPandas()["kind"].value_counts().to_dict()
+    got = {r["kind"]: r["n_groups"] for r in catalogue.QUERIES["anomaly_kind_totals"](spark, sf_dir).collect()}
+    assert got == groups and set(got) == {"duplicate", "outlier"}
