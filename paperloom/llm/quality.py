@@ -2,7 +2,10 @@
 
 A text fails the base rules if it has few words or mostly repeats itself. Lines
 that more than ``max_docs`` documents of a host share are removed; a document
-that keeps too little of its words is rejected. DataFrame functions only.
+that keeps too little of its words is rejected. Lines are told apart by the
+64-bit hash of their normal form, three-word windows of a text by their words.
+quality gives the verdicts, without_common_lines the texts that are left.
+DataFrame functions only.
 
 Cases: null and empty texts have no words and fail; a null host counts as the
 host ''; rows that repeat an id count as one document of a host and each gets
@@ -25,8 +28,11 @@ MIN_LEFT, MIN_SHARE = 25, 0.5
 #: Base rules.
 MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Low bits of a packed window that hold its position.
-POSITION_BITS = 26
+
+
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    """What windows are sorted by first; equal values need not be equal windows."""
+    return F.xxhash64(a, b, c)
 
 
 def _covered(at: Column) -> Column:
@@ -38,44 +44,61 @@ def _covered(at: Column) -> Column:
 def signals(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines (struct h, n: hash and words of each line).
 
-    Hashes of the three-word windows are packed with their positions and sorted,
-    so that equal windows are neighbours; equal hashes are compared in full.
+    The three-word windows are sorted by hash, then by their words, so that
+    equal windows are neighbours whatever their hashes; words are compared.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    mask = (1 << POSITION_BITS) - 1
     bare = F.length(F.translate(text, BLANKS, ""))
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     full = F.filter(lines(text), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = docs.select(*keep, bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), words(text).alias("__w"), full.alias("__full"))
     of_line = lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n"))
     w = F.col("__w")
-    windows = F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
-    second = first.select(*keep, "word_chars", "n_symbols", F.size("__w").cast("long").alias("n_words"), (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"), F.transform("__full", of_line).alias("__lines"), windows.alias("__h"))
-    packed = F.sort_array(F.transform("__h", lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
-    third = second.withColumn("__s", packed)
-    s, h = F.col("__s"), F.col("__h")
-    place = lambda i: s[i].bitwiseAND(F.lit(mask)).cast("int")
-    same = lambda i: (F.shiftright(s[i].bitwiseXOR(s[i - 1]), POSITION_BITS) == 0) & (h[place(i)] == h[place(i - 1)])
-    fourth = third.withColumn("__i", F.when(F.size("__s") > 1, F.filter(F.sequence(F.lit(1), F.size("__s") - 1), same)))
-    at = F.sort_array(F.array_distinct(F.flatten(F.transform("__i", lambda i: F.array(place(i), place(i - 1))))))
-    repeat = F.when(F.size("__i") > 0, _covered(F.transform(at, lambda x: x.cast("long")))).otherwise(F.lit(0).cast("long"))
-    return fourth.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "__lines")
+    window = lambda i: F.struct(window_hash(w[i], w[i + 1], w[i + 2]).alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i"))
+    windows = F.when(F.size(w) > 2, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)))
+    second = first.select(*keep, "word_chars", "n_symbols", F.size("__w").cast("long").alias("n_words"), (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"), F.transform("__full", of_line).alias("__lines"), windows.alias("__s"))
+    s = F.col("__s")
+    same = lambda j: (s[j]["h"] == s[j - 1]["h"]) & (s[j]["a"] == s[j - 1]["a"]) & (s[j]["b"] == s[j - 1]["b"]) & (s[j]["c"] == s[j - 1]["c"])
+    third = second.withColumn("__j", F.when(F.size("__s") > 1, F.filter(F.sequence(F.lit(1), F.size("__s") - 1), same)))
+    at = F.sort_array(F.array_distinct(F.flatten(F.transform("__j", lambda j: F.array(s[j]["i"], s[j - 1]["i"])))))
+    repeat = F.when(F.size("__j") > 0, _covered(F.transform(at, lambda x: x.cast("long")))).otherwise(F.lit(0).cast("long"))
+    return third.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "__lines")
+
+
+def common_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Columns host, h of lines that more than max_docs documents of a host have, from rows (host, h, id), one for each line."""
+    common = rows.select("host", "h", "id").distinct().groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h")
+    return as_table(common, "common")
+
+
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
 
 
 def quality(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each row of docs: id, the signals, words_left, base_failed, kept."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("__text"))
+    keyed = docs.select(F.col(id_col).alias("id"), _host(host_col).alias("host"), F.col(text_col).alias("__text"))
     table = as_table(signals(keyed, ["id", "host"], "__text").withColumn("rid", F.monotonically_increasing_id()), "signals")
     rows = table.select("rid", "id", "host", F.explode("__lines").alias("l")).select("rid", "id", "host", "l.h", "l.n")
-    common = rows.select("host", "h", "id").distinct().groupBy("host", "h").count().where(F.col("count") > max_docs).select("host", "h")
-    common = as_table(common, "common")
-    gone = rows.join(common, ["host", "h"]).groupBy("rid").agg(F.sum("n").alias("gone"))
+    gone = rows.join(common_lines(rows, max_docs), ["host", "h"]).groupBy("rid").agg(F.sum("n").alias("gone"))
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     kept = ~failed & (left >= MIN_LEFT) & (left >= MIN_SHARE * F.col("n_words"))
     return table.drop("__lines").join(gone, "rid", "left").select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left.alias("words_left"), failed.alias("base_failed"), kept.alias("kept"))
 
 
+def without_common_lines(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs with the common lines taken out of their texts; other texts, null among them, stay as they are. Only marked texts meet a mark."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(host_col))
+    rows = docs.select(F.col(id_col).alias("id"), _host(host_col).alias("host"), key.alias("key"), F.explode(F.array_distinct(F.transform(lines(F.col(text_col)), line_hash))).alias("h"))
+    rows = as_table(rows.where("h is not null"), "lines")
+    marks = rows.join(common_lines(rows, max_docs), ["host", "h"]).groupBy(F.col("key").alias("__key")).agg(F.collect_set("h").alias("__gone"))
+    joined = docs.withColumn("__key_of", key).join(marks, F.col("__key_of") == F.col("__key"), "left")
+    left = F.array_join(F.filter(lines(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_hash(x)), F.lit(False))), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 

@@ -161,6 +161,27 @@ def test_quality(spark):
     assert {r["id"] for r in out if r["kept"]} == {10}
 
 
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_windows_of_equal_hash(spark, monkeypatch, one_hash):
+    """Windows are equal if their words are, even if the hashes of all windows are one."""
+    if one_hash:
+        monkeypatch.setattr(quality, "window_hash", lambda a, b, c: F.lit(1).cast("long"))
+    other, twice, lone = "a521414 b c", "a621688 b c", "q1 q2 q3 q4"
+    texts = [f"{twice} {other} {twice} {lone}", f"{other} {lone} {twice}", "a b a b a b a", "x x x x y z x x x", f"{twice} {lone} {twice}", "w " * 3000 + "v"]
+    out = {r["id"]: r["n_repeat_words"] for r in quality.quality(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert out == {i: signals(t)[4] for i, t in enumerate(texts)}
+    assert out[0] == 6 and out[1] == 0
+
+
+def test_without_common_lines(spark):
+    rows = [(i, f"Same  line\nown {i}\n\n same LINE", "a") for i in range(21)] + [(50 + i, f"same line\nown {i}", "b") for i in range(20)] + [(80, None, "a"), (81, "", "a"), (0, "Same  line\nown 0\n\n same LINE", "a")]
+    out = quality.without_common_lines(docs(spark, rows))
+    got = sorted((r["doc_id"], r["text"]) for r in out.where("text is not null").collect())
+    assert out.columns == docs(spark, rows).columns and out.where("text is null").count() == 1
+    assert got == sorted([(i, f"own {i}\n") for i in range(21)] + [(0, "own 0\n")] + [(50 + i, f"same line\nown {i}") for i in range(20)] + [(81, "")])
+    assert quality.without_common_lines(docs(spark, rows[:1]).limit(0)).count() == 0
+
+
 def test_line_frequency(spark):
     body = "\n".join(" ".join(f"c{k}w{j}" for j in range(10)) for k in range(6))
     own = lambda i: " ".join(f"d{i}x{j}" for j in range(60))
