@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " ", -1), "")
 
 
+def slices(b: pa.RecordBatch, column: str, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in order, in parts of at most so many rows and about so many bytes of a column; a single row may be longer."""
+    if b.num_rows:
+        weight = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            before = weight[i - 1] if i else 0
+            n = max(1, min(rows, int(np.searchsorted(weight, before + size, side="right")) - i))
+            yield b.slice(i, n)
+            i += n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -168,15 +168,94 @@ def test_gradient():
             assert grad[k][i] == pytest.approx((loss[0] - loss[1]) / 2e-4, abs=2e-3)
 
 
-def test_memory_changes_nothing(monkeypatch):
-    net = language.train([("a", "aba bab abba"), ("b", "xyx yxy xxyy")], steps=30)
-    some = ["aba xyx", "x" * 100, None, "123", "ABA"]
-    want = language.Reader(net).read(some)
-    monkeypatch.setattr(language, "MEMO", 1)
-    reader = language.Reader(net)
-    got = [reader.read([t])[0] for t in some]
+def plain_gru(net, d, data):
+    """Scores of one direction at each byte, one after the other, with scalars."""
+    u, table, o = net.w[f"u{d}"].astype(float), net.w[f"x{d}"].astype(float) + net.w[f"b{d}"], net.w[f"o{d}"].astype(float)
+    k = u.shape[0]
+    h, out = [0.0] * k, {}
+    for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+        gu = [sum(h[i] * u[i, j] for i in range(k)) for j in range(3 * k)]
+        gx = table[data[t]]
+        z = [1 / (1 + math.exp(-gx[j] - gu[j])) for j in range(k)]
+        r = [1 / (1 + math.exp(-gx[k + j] - gu[k + j])) for j in range(k)]
+        new = [math.tanh(gx[2 * k + j] + r[j] * gu[2 * k + j]) for j in range(k)]
+        h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(k)]
+        out[t] = [sum(h[j] * o[j, c] for j in range(k)) for c in range(o.shape[1])]
+    return out
+
+
+def plain_sums(net, data, window, context):
+    total = [0.0] * len(net.langs)
+    for s in range(0, len(data), window):
+        e = min(len(data), s + window)
+        lo, hi = max(0, s - context), min(len(data), e + context)
+        f, b = plain_gru(net, "f", data[lo:e]), plain_gru(net, "b", data[s:hi])
+        for t in range(s, e):
+            x = [math.exp(f[t - lo][c] + b[t - s][c] + net.w["c"][c]) for c in range(len(total))]
+            total = [v + y / sum(x) for v, y in zip(total, x, strict=True)]
+    return total
+
+
+@pytest.fixture(scope="module")
+def small_net():
+    net, r = language.new_net(["a", "b", "c"], 3, seed=4), np.random.default_rng(6)
+    for k in net.w:
+        net.w[k] = r.normal(0, 0.6, net.w[k].shape).astype(np.float32)
+    return net
+
+
+@pytest.mark.parametrize(("window", "context"), [(256, 32), (16, 5), (4, 7), (1, 1)])
+def test_positions_as_the_plain_network(small_net, monkeypatch, window, context):
+    """Every position of whole texts, across stretches of any size, in any company."""
+    monkeypatch.setattr(language, "WINDOW", window)
+    monkeypatch.setattr(language, "CONTEXT", context)
+    texts = [b"a", "héllo wörld 123".encode(), b"x" * 70, bytes(range(97, 123)) * 3, "日本語".encode() * 9, b"ab" * 16]
+    for beside in (1, 1024):
+        monkeypatch.setattr(language, "BESIDE", beside)
+        got = language.Reader(small_net).sums(texts)
+        for t, s in zip(texts, got, strict=True):
+            assert s == pytest.approx(plain_sums(small_net, t, window, context), rel=1e-4)
+            assert s.sum() == pytest.approx(len(t), rel=1e-4)
+
+
+def test_read(small_net, monkeypatch):
+    """The mean of a text does not depend on its batch; texts without a letter are und; the text is read in lower case."""
+    some = ["Aba xyx!", "x" * 1000, None, "123 !?", "", "ABA XYX!", "日本", "aba xyx!"]
+    want = language.Reader(small_net).read(some)
+    assert [i for i, w in enumerate(want) if w == ("und", 0.0)] == [2, 3, 4]
+    assert want[0] == want[5] == want[7]
+    s = plain_sums(small_net, b"aba xyx!", 256, 32)
+    assert want[0] == (small_net.langs[int(np.argmax(s))], pytest.approx(max(s) / 8, rel=1e-4))
+    monkeypatch.setattr(language, "BATCH", 1)
+    got = [language.Reader(small_net).read([t])[0] for t in some]
     assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-5)
-    assert want[2:4] == [("und", 0.0)] * 2
+
+
+def test_ties_go_to_the_first(small_net):
+    net = language.Net(["a", "b"], {k: v[..., :2] * 0 if k[0] in "co" else v for k, v in small_net.w.items()})
+    assert language.Reader(net).read(["text"])[0] == ("a", pytest.approx(0.5))
+
+
+def test_reads_all_of_a_text(spark):
+    """Labels that differ only far into an unspaced run, and scripts without spaces, are learned from whole texts."""
+    head, tails = "qz" * 400, {"a": "abab", "b": "cdcd"}
+    rows = [(i, head + tails[k] * 300, k) for i in range(40) for k in "ab"] + [(100 + i, "日本語の文章を読む" * (i + 3), "ja") for i in range(20)] + [(200 + i, "中华人民共和国成" * (i + 3), "zh") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(docs, language.fit(docs, held=9)).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.95 * len(found)
+
+
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """A bounded sample of rows with null ids only, and of rows all alike, still teaches."""
+    monkeypatch.setattr(language, "FIT_DOCS", 20)
+    monkeypatch.setattr(language, "STEPS", 60)
+    rows = [(None, f"the words of this text {i}", "en") for i in range(150)] + [(None, f"die worte dieses textes {i}", "de") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs).langs == ["de", "en"]
+    alike = spark.createDataFrame([(None, "one and the same", "en")] * 300, "doc_id long, text string, lang string")
+    net = language.fit(alike)
+    out = language.identify(alike, net).select("lang_pred", "score").distinct().collect()
+    assert net.langs == ["en"] and [(r["lang_pred"], r["score"]) for r in out] == [("en", 1.0)]
 
 
 def test_held_out_accuracy(spark, sf_dir):
