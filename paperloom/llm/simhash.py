@@ -4,8 +4,12 @@ Every word shingle gives a 64-bit hash, and the majority of each bit gives the
 fingerprint of a text. Fingerprints within ``radius`` bits are linked. Equal
 fingerprints collapse first. A vantage-point tree over a bounded sample routes
 the rest to shards: a fingerprint lives in one leaf and visits, as a query,
-each leaf that the triangle inequality does not rule out. A shard searches its
-own vantage-point tree exactly and reports groups, not pairs.
+each leaf that the triangle inequality does not rule out. A shard of more than
+UNIT rows, visitors included, gets a tree of its own from a sample of its own;
+a leaf of that which is still over UNIT is compared block with block, so no
+task holds more than UNIT rows, about, however many there are. A shard searches
+its own vantage-point tree exactly and reports groups, not pairs. Groups bear
+the fingerprint of a member as their name, so equal names mean linked groups.
 
 Cases: null and empty texts have fingerprint zero and link like any other;
 texts of any length are read whole; a null id still links, but never names a
@@ -16,6 +20,7 @@ are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -32,6 +37,10 @@ from .components import connected_components
 SEED = 42
 #: Fingerprints that fit the routing tree, and those that a shard should hold as its own.
 SAMPLE, LEAF, MOST_SHARDS = 8192, 2048, 4096
+#: Most rows of a task's search, and fingerprints that fit the tree of a larger shard: such trees, one a leaf of the first, travel to every task.
+UNIT, FEW = 1 << 20, 1024
+#: Rows for each partition of the search, and most partitions.
+PART, MOST_PARTS = 10_000, 100_000
 #: Fingerprints that a shard's search compares directly, and members that share a component's key.
 DIRECT, MEMBERS = 96, 1000
 
@@ -70,14 +79,14 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
 
 @dataclass
-class Split:
-    """Node of a tree: distance to vantage at most cut goes to near, else to far; a leaf has a number only."""
+class Tree:
+    """Nodes of a vantage-point tree by number, the root first: distance to vantage at most cut goes to near, else to far. A leaf's near is -1, its far the leaf's number."""
 
-    leaf: int = -1
-    vantage: int = 0
-    cut: int = 0
-    near: Split | None = None
-    far: Split | None = None
+    vantage: np.ndarray
+    cut: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    leaves: int
 
 
 def _choose(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
@@ -97,45 +106,53 @@ def _choose(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
     return found
 
 
-def routing_tree(sample: np.ndarray, total: int, radius: int) -> tuple[Split, int]:
-    """Tree over a sample whose leaves hold about LEAF of the total, and the number of leaves."""
+def routing_tree(sample: np.ndarray, total: int, radius: int, leaf: float | None = None) -> Tree:
+    """Tree over a sample whose leaves hold about leaf (LEAF, or more where total is large) of the total."""
+    nodes: list[list[int]] = []
     leaves = 0
-    share = max(LEAF, total / MOST_SHARDS) * len(sample) / max(total, 1)
+    share = (leaf or max(LEAF, total / MOST_SHARDS)) * len(sample) / max(total, 1)
 
-    def build(points: np.ndarray) -> Split:
+    def build(points: np.ndarray) -> int:
         nonlocal leaves
+        nodes.append([0, 0, -1, -1])
+        at = len(nodes) - 1
         if len(points) > max(share, 8) and (found := _choose(points, radius)):
             v, cut = found
             near = np.bitwise_count(points ^ v) <= cut
-            return Split(-1, int(v), cut, build(points[near]), build(points[~near]))
-        leaves += 1
-        return Split(leaves - 1)
+            nodes[at] = [int(v), cut, build(points[near]), build(points[~near])]
+        else:
+            nodes[at][3] = leaves
+            leaves += 1
+        return at
 
-    return build(sample), leaves
+    build(sample)
+    v, cut, near, far = zip(*nodes, strict=True)
+    return Tree(np.array(v, np.uint64), np.array(cut, np.int8), np.array(near, np.int32), np.array(far, np.int32), leaves)
 
 
-def route(tree: Split, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: Tree, fps: np.ndarray, radius: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaf, index into fps and whether the leaf is its own, for each leaf that a fingerprint lives in or visits.
 
-    Of two linked fingerprints on both sides of a cut, the near one visits the far side.
+    Of two linked fingerprints on both sides of a cut, the near one visits the far side. Without own all live in a leaf; the others only visit.
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def walk(node: Split, own: np.ndarray, guests: np.ndarray) -> None:
+    def walk(node: int, own: np.ndarray, guests: np.ndarray) -> None:
         if not len(own) and not len(guests):
             return
-        if node.leaf >= 0:
+        if tree.near[node] < 0:
             at = np.concatenate([own, guests])
-            out.append((np.full(len(at), node.leaf), at, np.arange(len(at)) < len(own)))
+            out.append((np.full(len(at), tree.far[node]), at, np.arange(len(at)) < len(own)))
             return
-        v = np.uint64(node.vantage)
+        v, cut = tree.vantage[node], int(tree.cut[node])
         d, g = np.bitwise_count(fps[own] ^ v).astype(int), np.bitwise_count(fps[guests] ^ v).astype(int)
-        near = d <= node.cut
-        visit = near & (d > node.cut - radius)
-        walk(node.near, own[near], guests[g <= node.cut + radius])
-        walk(node.far, own[~near], np.concatenate([own[visit], guests[g > node.cut - radius]]))
+        near = d <= cut
+        visit = near & (d > cut - radius)
+        walk(int(tree.near[node]), own[near], guests[g <= cut + radius])
+        walk(int(tree.far[node]), own[~near], np.concatenate([own[visit], guests[g > cut - radius]]))
 
-    walk(tree, np.arange(len(fps)), np.empty(0, dtype=int))
+    at = np.arange(len(fps))
+    walk(0, at if own is None else at[own], at[:0] if own is None else at[~own])
     if not out:
         return np.empty(0, int), np.empty(0, int), np.empty(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -201,38 +218,85 @@ def search(fps: np.ndarray, own: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _members(part: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Rows fp, comp, head for each member of a shard's groups of two or more; a comp has MEMBERS members at most, head is the group's first comp."""
+    """Rows fp, comp, head for each member of a unit's groups of two or more.
+
+    A comp has MEMBERS members at most and is named by its first, head names the group's first comp. Names of
+    different units that are equal are of groups that share this member, so they may well be one.
+    """
     part = part.sort_values(["own", "fp"], ascending=[False, True], ignore_index=True)
     fps = part["fp"].to_numpy(np.int64).view(np.uint64)
     roots = search(fps, part["own"].to_numpy(bool), radius)
     order = np.argsort(roots, kind="stable")
-    ranked = roots[order]
+    ranked, named = roots[order], fps[order].view(np.int64)
     start = np.searchsorted(ranked, ranked)
     size = np.searchsorted(ranked, ranked, side="right") - start
-    head = (int(part["shard"].iloc[0]) << 40) + (ranked.astype(np.int64) << 16)
-    comp = head + (np.arange(len(ranked)) - start) // MEMBERS
+    comp = start + (np.arange(len(ranked)) - start) // MEMBERS * MEMBERS
     kept = size > 1
-    return pd.DataFrame({"fp": part["fp"].to_numpy(np.int64)[order][kept], "comp": comp[kept], "head": head[kept]})
+    return pd.DataFrame({"fp": named[kept], "comp": named[comp][kept], "head": named[start][kept]})
 
 
-def fingerprint_classes(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Columns fp, component_id for rows (id, fp): the smallest id reachable over links of at most radius bits."""
-    spark = fps.sparkSession
-    distinct = as_table(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
-    total = distinct.count()
+def shards(distinct: DataFrame, total: int, radius: int) -> DataFrame:
+    """Columns shard, sub, fp, own: each fingerprint (column fp) in the leaf where it lives and in those that it visits."""
+    spark = distinct.sparkSession
     sample = distinct.select("fp", F.xxhash64("fp", F.lit(7)).alias("o")).where(within_sample(F.col("o"), total, SAMPLE))
     sample = sample.orderBy("o").limit(SAMPLE).toPandas()
-    points = sample["fp"].to_numpy(np.int64).view(np.uint64)
-    tree, leaves = routing_tree(points, total, radius)
+    tree = routing_tree(sample["fp"].to_numpy(np.int64).view(np.uint64), total, radius)
 
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = b["fp"].to_numpy(np.int64)
             leaf, at, own = route(tree, raw.view(np.uint64), radius)
             yield pd.DataFrame({"shard": leaf, "fp": raw[at], "own": own})
 
-    shards = distinct.select("fp").mapInPandas(routed, "shard long, fp long, own boolean").repartition(max(1, leaves), "shard")
-    members = as_table(shards.groupBy("shard").applyInPandas(lambda p: _members(p, radius), "fp long, comp long, head long"), "members")
+    placed = as_table(distinct.select("fp").mapInPandas(first, "shard long, fp long, own boolean"), "shards")
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("own").alias("mine")).where(F.col("n") > UNIT)
+    large = {r["shard"]: (r["n"], r["mine"]) for r in sizes.collect()}  # of the leaves of a tree over SAMPLE points
+    if not large:
+        return placed.select("shard", F.lit(0).cast("long").alias("sub"), "fp", "own")
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        shard = int(part["shard"].iloc[0])
+        n, mine = large[shard]
+        points = np.sort(part["fp"].to_numpy(np.int64)).view(np.uint64)
+        # Half a unit of rows for each leaf; guests are of this share, too.
+        t = routing_tree(points, mine, radius, leaf=UNIT / 2 * mine / n)
+        return pd.DataFrame({"shard": [shard], "tree": [pickle.dumps(t)]})
+
+    few = F.broadcast(spark.createDataFrame([(k, max(1, min(1 << 30, (FEW << 30) // max(mine, 1)))) for k, (_, mine) in large.items()], "shard long, bar long"))
+    low = F.pmod(F.shiftrightunsigned(F.xxhash64("fp", F.lit(8)), 34), F.lit(1 << 30)) < F.col("bar")
+    grown = placed.where("own").join(few, "shard").where(low).groupBy("shard").applyInPandas(grow, "shard long, tree binary").collect()
+    trees = spark.sparkContext.broadcast({r["shard"]: pickle.loads(bytes(r["tree"])) for r in grown})
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, rows in b.groupby("shard", sort=False):
+                raw, own = rows["fp"].to_numpy(np.int64), rows["own"].to_numpy(bool)
+                sub, at = np.zeros(len(raw), int), np.arange(len(raw))
+                if shard in trees.value:
+                    sub, at, own = route(trees.value[shard], raw.view(np.uint64), radius, own)
+                yield pd.DataFrame({"shard": shard, "sub": sub, "fp": raw[at], "own": own})
+
+    return as_table(placed.mapInPandas(second, "shard long, sub long, fp long, own boolean"), "shards")
+
+
+def units(placed: DataFrame) -> DataFrame:
+    """Columns shard, sub, job, fp, own: the rows of shards, those of over UNIT rows once for each pair of their blocks that the row is in."""
+    sizes = placed.groupBy("shard", "sub").agg(F.count("*").alias("n"), F.count_if("own").alias("mine")).where("mine > 0 and n > 1")
+    blocks = F.when(F.col("n") > UNIT, F.ceil(F.col("n") * 2 / UNIT)).otherwise(1).cast("long")
+    sized = placed.join(sizes.select("shard", "sub", blocks.alias("blocks")), ["shard", "sub"])
+    own = F.pmod(F.xxhash64("fp", F.lit(9)), F.col("blocks"))
+    pair = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: (other != own) | (F.col("blocks") == 1))
+    return sized.select("shard", "sub", F.explode(F.transform(others, pair)).alias("job"), "fp", "own")
+
+
+def fingerprint_classes(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """Columns fp, component_id for rows (id, fp): the smallest id reachable over links of at most radius bits."""
+    distinct = as_table(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    placed = shards(distinct, distinct.count(), radius)
+    parts = max(1, min(MOST_PARTS, placed.count() // PART))
+    searched = units(placed).repartition(parts, "shard", "sub", "job").groupBy("shard", "sub", "job")
+    members = as_table(searched.applyInPandas(lambda p: _members(p, radius), "fp long, comp long, head long"), "members")
 
     hops = members.groupBy("fp").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     edges = hops.union(members.select("head", "comp")).where("a <> b")

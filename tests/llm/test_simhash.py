@@ -55,7 +55,8 @@ def test_search_and_route_are_exact(monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 60)
     monkeypatch.setattr(simhash, "DIRECT", 16)
     fps = np.array(sorted(set(clustered(1500, 3))), dtype=np.uint64)
-    tree, leaves = simhash.routing_tree(fps[::3], len(fps), 2)
+    tree = simhash.routing_tree(fps[::3], len(fps), 2)
+    leaves = tree.leaves
     assert leaves > 5
     leaf, at, own = simhash.route(tree, fps, 2)
     assert own.sum() == len(fps)
@@ -71,6 +72,21 @@ def test_search_and_route_are_exact(monkeypatch):
     assert (met | met.T)[near].all()
 
 
+def test_route_again(monkeypatch):
+    """Owners and visitors of a leaf, dealt again by a tree of the leaf's own, still meet all that they are linked to."""
+    fps = np.array(sorted(set(clustered(900, 8))), dtype=np.uint64)
+    own = np.random.default_rng(1).random(len(fps)) < 0.6
+    tree = simhash.routing_tree(fps[own], int(own.sum()), 2, leaf=40)
+    assert tree.leaves > 3
+    leaf, at, mine = simhash.route(tree, fps, 2, own)
+    assert sorted(at[mine]) == list(np.flatnonzero(own))
+    met = np.zeros((len(fps), len(fps)), bool)
+    for x in range(tree.leaves):
+        met[np.ix_(at[leaf == x][mine[leaf == x]], at[leaf == x])] = True
+    near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2) & (own[:, None] | own[None, :])
+    assert (met | met.T)[near].all()
+
+
 def plain_roots(n, pairs):
     up = list(range(n))
 
@@ -84,14 +100,32 @@ def plain_roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_classes(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 40)
+@pytest.mark.parametrize(("unit", "few", "subs", "jobs"), [(1 << 20, 1024, False, False), (160, 400, True, False), (60, 64, True, True), (20, 64, True, True), (30, 1, False, True)])
+def test_classes(spark, monkeypatch, unit, few, subs, jobs):
+    """One tree, trees of large leaves, and leaves in blocks: the classes are those of all pairs, and no task holds more than a unit."""
+    monkeypatch.setattr(simhash, "LEAF", 80)
     monkeypatch.setattr(simhash, "MEMBERS", 3)
+    monkeypatch.setattr(simhash, "UNIT", unit)
+    monkeypatch.setattr(simhash, "FEW", few)
+    units = simhash.units
+    seen = {}
+
+    def watched(placed):
+        seen["sub"] = placed.where("sub > 0").count()
+        out = units(placed)
+        sizes = out.groupBy("shard", "sub", "job").count()
+        seen["jobs"] = out.where("job > 0").count()
+        seen["most"] = sizes.agg({"count": "max"}).first()[0]
+        return out
+
+    monkeypatch.setattr(simhash, "units", watched)
     fps = clustered(500, 5)
     rows = [(i * 7 % 1000, fps[i % 450]) for i in range(500)] + [(None, fps[0]), (None, 12345)]
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "id long, fp long")
     got = df.join(simhash.fingerprint_classes(df), "fp").select("id", "component_id").collect()
     assert {tuple(x) for x in got} == plain_classes(rows, 2)
+    assert (bool(seen["sub"]), bool(seen["jobs"])) == (subs, jobs)
+    assert seen["most"] <= 2 * unit
 
 
 def test_cases(spark):
