@@ -10,7 +10,8 @@ forward recursion, times the shares of the words.
 Words of at least one in KNOWN training tokens, KNOWN at most, go to every task
 with their counts; counts of rarer words are joined. A recursion over a long
 text runs over blocks of BLOCK tokens at once, whose transfer matrices are then
-chained.
+chained. Texts are taken in batches of TOKENS tokens, and blocks in parts, so
+that a long text needs little more memory than its tokens.
 
 Cases: a null text is empty, and an empty one has its end as the only token;
 texts of any length are scored whole; a null id counts as the empty string for
@@ -32,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, documents
+from .common import as_table, documents, slices
 
 #: Bounds: classes of their own, words known to every task, classes by ending.
 OWN, KNOWN, SUFFIXES = 8192, 262144, 256
 STATES, ROUNDS, SEED, STAY = 4, 4, 5, 0.98
 #: Of a count that is added to every word, end and unknown word of the base model.
 ADD = 0.1
-BLOCK, ROWS = 64, 1000
+#: Tokens of a block, blocks worked on at once; most rows, tokens and bytes of text in a batch, unless one text has more.
+BLOCK, BESIDE, ROWS, TOKENS, TEXT = 64, 2048, 1000, 200_000, 2 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -69,7 +71,7 @@ def first_model(weights: np.ndarray, states: int = STATES, seed: int = SEED) ->
 
 
 class Blocks:
-    """Sequences cut into blocks: x[t, b] classes, longest blocks first, and where each stands in its sequence."""
+    """Sequences cut into blocks, longest blocks first, and where each stands in its sequence."""
 
     def __init__(self, seqs: list[np.ndarray]):
         lens = np.array([len(s) for s in seqs], dtype=np.int64)
@@ -77,35 +79,45 @@ class Blocks:
         seq = np.repeat(np.arange(len(seqs)), per)
         step = np.arange(len(seq)) - np.repeat(np.cumsum(per) - per, per)
         size = np.minimum(BLOCK, lens[seq] - step * BLOCK)
-        flat = np.concatenate(seqs)
         begin = np.repeat(np.cumsum(lens) - lens, per) + step * BLOCK
         order = np.argsort(-size, kind="stable")
-        self.seq, self.step, self.size, begin = seq[order], step[order], size[order], begin[order]
-        at = begin[None, :] + np.minimum(np.arange(BLOCK)[:, None], self.size[None, :] - 1)
-        self.x = flat[at]
-        self.active = np.searchsorted(-self.size, -np.arange(1, BLOCK + 1), side="right")
-        self.by_step = [np.flatnonzero(self.step == j) for j in range(int(per.max()))] if len(seq) else []
-        self.position = np.empty(len(seq), dtype=np.int64)
-        self.position[np.lexsort((self.step, self.seq))] = np.arange(len(seq))
-        self.sorted = np.argsort(self.position)
+        self.seq, self.step, self.size, self.begin = seq[order], step[order], size[order], begin[order]
+        self.flat = np.concatenate(seqs)
+        place = np.empty(len(seq), dtype=np.int64)
+        place[order] = np.arange(len(seq))
+        #: Of each block that before it in its sequence; not of the first.
+        self.previous = place[np.maximum(order - 1, 0)]
+        #: The blocks of each step, all in time that grows with the blocks.
+        self.by_step = np.split(np.argsort(self.step, kind="stable"), np.cumsum(np.bincount(self.step))[:-1]) if len(seq) else []
+
+    def parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Blocks in parts of BESIDE: which, symbols x[t, b], and how many have a symbol at each t."""
+        for lo in range(0, len(self.seq), BESIDE):
+            part = slice(lo, min(lo + BESIDE, len(self.seq)))
+            size = self.size[part]
+            at = self.begin[part][None, :] + np.minimum(np.arange(BLOCK)[:, None], size[None, :] - 1)
+            yield part, self.flat[at].astype(np.int64), np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
 
 
 def transfer(m: Model, b: Blocks) -> tuple[np.ndarray, np.ndarray]:
     """Matrix of each block, from predicted states before it to those after it, scaled, and the log of its scale."""
     k, n = len(m.start), len(b.seq)
     emit = np.ascontiguousarray(m.emit.T)
-    p, log = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
-    for t in range(BLOCK):
-        a = b.active[t]
-        if not a:
-            break
-        p[:a] = ((p[:a] * emit[b.x[t, :a]][:, None, :]).reshape(-1, k) @ m.move).reshape(-1, k, k)
-        if t % 8 == 7 or t == BLOCK - 1:
-            s = p.sum((1, 2))
-            p /= s[:, None, None]
-            log += np.log(s)
-    s = p.sum((1, 2))
-    return p / s[:, None, None], log + np.log(s)
+    mats, logs = np.empty((n, k, k)), np.zeros(n)
+    for part, x, active in b.parts():
+        p, log = np.broadcast_to(np.eye(k), (x.shape[1], k, k)).copy(), np.zeros(x.shape[1])
+        for t in range(BLOCK):
+            a = active[t]
+            if not a:
+                break
+            p[:a] = ((p[:a] * emit[x[t, :a]][:, None, :]).reshape(-1, k) @ m.move).reshape(-1, k, k)
+            if t % 8 == 7 or t == BLOCK - 1:
+                s = p.sum((1, 2))
+                p /= s[:, None, None]
+                log += np.log(s)
+        s = p.sum((1, 2))
+        mats[part], logs[part] = p / s[:, None, None], log + np.log(s)
+    return mats, logs
 
 
 def chained(m: Model, b: Blocks, mats: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +142,7 @@ def log_likelihoods(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
 def expected_counts(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions over all sequences, and their log likelihood, by forward and backward recursion."""
     b = Blocks(seqs)
-    k, n = len(m.start), len(b.seq)
+    k, n, width = len(m.start), len(b.seq), m.emit.shape[1]
     emit = np.ascontiguousarray(m.emit.T)
     mats, logs = transfer(m, b)
     before, like = chained(m, b, mats, logs)
@@ -140,44 +152,46 @@ def expected_counts(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.nd
         after[at] = now[seq]
         v = np.einsum("nkj,nj->nk", mats[at], now[seq])
         now[seq] = v / v.sum(1, keepdims=True)
-    alpha, p = np.zeros((BLOCK, n, k)), before.copy()
-    last = np.zeros((n, k))
-    for t in range(BLOCK):
-        a = b.active[t]
-        if not a:
-            break
-        f = p[:a] * emit[b.x[t, :a]]
-        f /= f.sum(1, keepdims=True)
-        alpha[t, :a] = last[:a] = f
-        p[:a] = f @ m.move
-    ahead = after.copy()  # weight of each predicted state after a token
-    move, gamma_x, gamma = np.zeros((k, k)), [], []
-    start = np.zeros(k)
-    first = b.step == 0
-    for t in reversed(range(BLOCK)):
-        a = b.active[t]
-        if not a:
-            continue
-        beta = ahead[:a] @ m.move.T
-        g = alpha[t, :a] * beta
-        norm = g.sum(1, keepdims=True)
-        gamma_x.append(b.x[t, :a])
-        gamma.append(g / norm)
-        weight = emit[b.x[t, :a]] * beta
-        weight /= weight.sum(1, keepdims=True)
-        if t:
-            prev = alpha[t - 1, :a]
-            z = ((prev @ m.move) * weight).sum(1, keepdims=True)
-            move += m.move * (prev.T @ (weight / z))
-        else:
-            start = (g / norm)[first[:a]].sum(0)
-            here = np.flatnonzero(~first)
-            prev = last[b.sorted[b.position[here] - 1]]
-            z = ((prev @ m.move) * weight[here]).sum(1, keepdims=True)
-            move += m.move * (prev.T @ (weight[here] / z))
-        ahead[:a] = weight
-    xs, gs = np.concatenate(gamma_x), np.concatenate(gamma)
-    out = np.stack([np.bincount(xs, weights=gs[:, i], minlength=m.emit.shape[1]) for i in range(k)])
+    last, lead = np.zeros((n, k)), np.zeros((n, k))  # states at each block's end, and what its first token and all later ones say of them
+    start, move, out = np.zeros(k), np.zeros((k, k)), np.zeros((k, width))
+    for part, x, active in b.parts():
+        alpha, p = np.zeros((BLOCK, x.shape[1], k)), before[part].copy()
+        for t in range(BLOCK):
+            a = active[t]
+            if not a:
+                break
+            f = p[:a] * emit[x[t, :a]]
+            f /= f.sum(1, keepdims=True)
+            alpha[t, :a] = f
+            last[part][:a] = f
+            p[:a] = f @ m.move
+        ahead = after[part].copy()  # weight of each predicted state after a token
+        xs, gs = [], []
+        for t in reversed(range(BLOCK)):
+            a = active[t]
+            if not a:
+                continue
+            beta = ahead[:a] @ m.move.T
+            g = alpha[t, :a] * beta
+            g /= g.sum(1, keepdims=True)
+            xs.append(x[t, :a])
+            gs.append(g)
+            weight = emit[x[t, :a]] * beta
+            weight /= weight.sum(1, keepdims=True)
+            if t:
+                prev = alpha[t - 1, :a]
+                z = ((prev @ m.move) * weight).sum(1, keepdims=True)
+                move += m.move * (prev.T @ (weight / z))
+            else:
+                start += g[b.step[part] == 0].sum(0)
+                lead[part] = weight
+            ahead[:a] = weight
+        every, weights = np.concatenate(xs), np.concatenate(gs)
+        out += np.stack([np.bincount(every, weights=weights[:, i], minlength=width) for i in range(k)])
+    later = np.flatnonzero(b.step > 0)
+    prev = last[b.previous[later]]
+    z = ((prev @ m.move) * lead[later]).sum(1, keepdims=True)
+    move += m.move * (prev.T @ (lead[later] / z))
     return start, move, out, float(like.sum())
 
 
@@ -196,13 +210,12 @@ def _packed(seqs: list[np.ndarray]) -> list[bytes]:
 
 
 def _unpacked(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64) for x in b.column("seq")]
+    return [np.frombuffer(x.as_py(), dtype="<u2") for x in b.column("seq")]
 
 
-def _slices(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(stream: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     for b in stream:
-        for i in range(0, b.num_rows, ROWS):
-            yield b.slice(i, ROWS)
+        yield from slices(b, column, ROWS, size)
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -210,7 +223,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
-        for b in _slices(stream):
+        for b in _slices(stream, "text", TEXT):
             for t in b.column("text"):
                 held.update(tokens(t.as_py()))
             if len(held) > 200_000:
@@ -251,7 +264,7 @@ def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds:
     def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, of_class, log_count, share, end = tables.value
         lone = math.log10(ADD)
-        for b in _slices(stream):
+        for b in _slices(stream, "text", TEXT):
             out: dict[str, list] = {f.name: [] for f in fields}
             for rid, ident, held, text in zip(*(b.column(c).to_pylist() for c in ("rid", "id", "held_out", "text")), strict=True):
                 words = tokens(text)
@@ -279,9 +292,8 @@ def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds:
     final = spark.sparkContext.broadcast(model)
 
     def like(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(stream):
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(log_likelihoods(final.value, _unpacked(b)) / math.log(10))], names=["rid", "chain"])
+        for b in _slices(stream, "seq", 2 * TOKENS):
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(log_likelihoods(final.value, _unpacked(b)) / math.log(10))], names=["rid", "chain"])
 
     rare = table.select("rid", F.explode("rare").alias("r")).select("rid", "r.w", "r.n")
     more = rare.join(counts.where(F.col("c") * KNOWN < n), "w")
@@ -302,10 +314,9 @@ def _round(seqs: DataFrame, model: Model) -> Model:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + k * k + k * width)
-        for b in _slices(stream):
-            if b.num_rows:
-                start, move, emit, _ = expected_counts(given.value, _unpacked(b))
-                total += np.concatenate([start, move.ravel(), emit.ravel()])
+        for b in _slices(stream, "seq", 2 * TOKENS):
+            start, move, emit, _ = expected_counts(given.value, _unpacked(b))
+            total += np.concatenate([start, move.ravel(), emit.ravel()])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "value"])
 
