@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The white space of every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows of narrow tables for each file.
+FILE_ROWS = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +63,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and a lost executor costs nothing of it."""
+def as_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: it is computed once, and a lost executor costs nothing of it.
+
+    rows, if given, is at least about how many there are: a small table is then written by few tasks, to few files.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path

@@ -290,30 +290,32 @@ def units(placed: DataFrame) -> DataFrame:
     return sized.select("shard", "sub", F.explode(F.transform(others, pair)).alias("job"), "fp", "own")
 
 
-def fingerprint_classes(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Columns fp, component_id for rows (id, fp): the smallest id reachable over links of at most radius bits."""
-    distinct = as_table(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
-    placed = shards(distinct, distinct.count(), radius)
+def fingerprint_classes(fps: DataFrame, radius: int = 2, rows: int | None = None) -> DataFrame:
+    """Columns fp, component_id for rows (id, fp), so many if known: the smallest id reachable over links of at most radius bits."""
+    distinct = as_table(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints", rows)
+    total = distinct.count()
+    placed = shards(distinct, total, radius)
     parts = max(1, min(MOST_PARTS, placed.count() // PART))
     searched = units(placed).repartition(parts, "shard", "sub", "job").groupBy("shard", "sub", "job")
     members = as_table(searched.applyInPandas(lambda p: _members(p, radius), "fp long, comp long, head long"), "members")
+    many = members.count()
 
     hops = members.groupBy("fp").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     edges = hops.union(members.select("head", "comp")).where("a <> b")
-    roots = connected_components(edges)
+    roots = connected_components(edges, rows=many)
     comps = members.join(distinct, "fp").groupBy("comp").agg(F.min("first").alias("first"))
     comps = comps.join(roots, comps["comp"] == roots["node"], "left").select("comp", F.coalesce("root", "comp").alias("root"), "first")
-    comps = as_table(comps, "comps")
+    comps = as_table(comps, "comps", many)
     names = comps.groupBy("root").agg(F.min("first").alias("name"))
     named = comps.join(names, "root").select("comp", "name")
     best = members.join(named, "comp").groupBy("fp").agg(F.min("name").alias("name"))
-    return as_table(distinct.join(best, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id")), "classes")
+    return as_table(distinct.join(best, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id")), "classes", total)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, fp, component_id: one row for each row of docs."""
     fps = as_table(fingerprints(docs, size, id_col, text_col), "simhash")
-    classes = fingerprint_classes(fps, radius)
+    classes = fingerprint_classes(fps, radius, fps.count())
     return fps.join(classes, "fp", "left").select("id", "fp", "component_id")
 
 

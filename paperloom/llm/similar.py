@@ -32,15 +32,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, slices
 from .components import connected_components
 from .simhash import Groups, bits_of, fingerprint_classes, shingle_hashes
 
 BANDS, ROWS = 24, 6
 PAIRED, CENTRES, BLOCK = 32, 3, 512
+#: Narrow rows that a set of shingles counts for.
+WEIGHT = 50
 #: Shingles that a comparison of two blocks holds as columns at once.
 COLUMNS = 8192
 SEED = 29
@@ -68,61 +70,75 @@ def bands_of(h: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i)).astype(np.int64)) for i in range(0, len(least), ROWS)]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets of shingle hashes."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two sets of shingle hashes, arrays without repeats."""
+    common = F.size(F.array_intersect(a, b))
+    return common / F.greatest(F.lit(1), F.size(a) + F.size(b) - common)
+
+
+def fitting(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of a and b elements can be so similar at all."""
+    return F.least(a, b) >= similarity * (1 - 1e-9) * F.greatest(a, b)
 
 
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Columns id, said (hash of the text), fp, node, bands of each row."""
+    """Columns id, said (hash of the text), fp, node, len (shingles in its set), bands of each row."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
-                hashes = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
-                fps = np.array([bits_of(h) for h in hashes], dtype=np.uint64).view(np.int64)
-                nodes = [node_of(np.unique(h)) for h in hashes]
-                columns = [b.column("id"), b.column("said"), pa.array(fps), pa.array(nodes, pa.int64()), pa.array([bands_of(h) for h in hashes], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "said", "fp", "node", "bands"])
+            for b in slices(whole, "text"):
+                fps, nodes, lens, bands = [], [], [], []
+                for t in b.column("text").to_pylist():
+                    h = shingle_hashes(t, size)
+                    known = np.unique(h)
+                    fps.append(bits_of(h))
+                    nodes.append(node_of(known))
+                    lens.append(len(known))
+                    bands.append(bands_of(known))
+                columns = [b.column("id"), b.column("said"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(lens, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "said", "fp", "node", "len", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("said"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, said long, fp long, node long, bands array<long>")
+    return rows.mapInArrow(run, "id long, said long, fp long, node long, len int, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Columns node, class, shingles (sorted hashes, packed) for wanted (node, class, row), where row (id, said) has a text of the node."""
+    """Columns node, class, shingles (array of distinct hashes) for wanted (node, class, row), where row (id, said) has a text of the node."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in stream:
-            packed = [np.unique(shingle_hashes(t, size)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("class"), pa.array(packed, pa.binary())], names=["node", "class", "shingles"])
+        for whole in stream:
+            for b in slices(whole, "text"):
+                sets = [np.unique(shingle_hashes(t, size)) for t in b.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("class"), pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))], names=["node", "class", "shingles"])
 
     w = wanted.select("node", "class", F.col("row.id").alias("w_id"), F.col("row.said").alias("w_said"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("said"), F.col(text_col).alias("text"))
     texts = texts.join(w, (texts["said"] == w["w_said"]) & texts["id"].eqNullSafe(w["w_id"])).groupBy("node", "class").agg(F.max("text").alias("text"))
-    return texts.mapInArrow(run, "node long, class long, shingles binary")
+    return texts.mapInArrow(run, "node long, class long, shingles array<long>")
 
 
-def bucketed(nodes: DataFrame) -> DataFrame:
-    """Columns bucket, n (its nodes), c0.. (centres), node, class of nodes (node, class, bands) in buckets of more than one class."""
-    rows = nodes.select("node", "class", F.posexplode("bands").alias("band", "value")).select("node", "class", F.xxhash64("band", "value").alias("bucket"))
-    centre = [F.min_by(F.struct("node", "class"), F.xxhash64("node", "bucket", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), *centre).where("lo <> hi").drop("lo", "hi")
-    return as_table(rows.join(buckets, "bucket"), "buckets")
+def bucketed(nodes: DataFrame, rows: int) -> DataFrame:
+    """Columns bucket, n (its nodes), c0.. (centres), node, class, len of nodes (node, class, len, bands) in buckets of more than one class."""
+    met = nodes.select("node", "class", "len", F.posexplode("bands").alias("band", "value")).select("node", "class", "len", F.xxhash64("band", "value").alias("bucket"))
+    centre = [F.min_by(F.struct("node", "class", "len"), F.xxhash64("node", "bucket", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
+    buckets = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), *centre).where("lo <> hi").drop("lo", "hi")
+    return as_table(met.join(buckets, "bucket"), "buckets", rows * BANDS)
 
 
-def candidate_pairs(met: DataFrame) -> DataFrame:
-    """Columns a < b of nodes of different classes that share a bucket; in a large one, of each with the centres."""
-    few = met.where(F.col("n") <= PAIRED).select("bucket", "node", "class")
-    pairs = [few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))]
+def candidate_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Columns a < b of nodes of different classes that share a bucket and may be so similar; in a large one, of each with the centres."""
+    few = met.where(F.col("n") <= PAIRED).select("bucket", "node", "class", "len")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & fitting(F.col("x.len"), F.col("y.len"), similarity)
+    pairs = [few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))]
     many = met.where(F.col("n") > PAIRED)
-    pairs += [many.where(F.col("class") != F.col(f"c{i}.class")).select(F.least("node", f"c{i}.node").alias("a"), F.greatest("node", f"c{i}.node").alias("b")) for i in range(CENTRES)]
+    for i in range(CENTRES):
+        other = many.where((F.col("class") != F.col(f"c{i}.class")) & fitting(F.col("len"), F.col(f"c{i}.len"), similarity))
+        pairs.append(other.select(F.least("node", f"c{i}.node").alias("a"), F.greatest("node", f"c{i}.node").alias("b")))
     return reduce(DataFrame.union, pairs).distinct()
 
 
-def block_pairs(large: DataFrame) -> DataFrame:
+def block_pairs(large: DataFrame, rows: int) -> DataFrame:
     """Columns job, side, node, root for rows (bucket, node, root): each pair of nodes of a bucket with different roots meets in a job, on side 0 or on both.
 
     A root with over BLOCK nodes of a bucket has blocks to itself, which don't meet each other.
@@ -134,7 +150,7 @@ def block_pairs(large: DataFrame) -> DataFrame:
     part = F.when(own.isNotNull(), F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("root", F.lit(5)), F.ceil(F.col("small") / BLOCK)))
     placed = large.join(sizes.join(mixed, "bucket"), ["bucket", "root"]).select("bucket", "node", "root", own.alias("own"), part.alias("part"))
     placed = placed.withColumn("block", F.xxhash64("bucket", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "part"))
-    placed = as_table(placed, "blocks")
+    placed = as_table(placed, "blocks", rows)
     blocks = placed.select("bucket", "own", "block").distinct()
     jobs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")))
     jobs = jobs.where("x.own is null or y.own is null or x.own <> y.own").select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).withColumn("job", F.xxhash64("a", "b"))
@@ -145,7 +161,7 @@ def block_pairs(large: DataFrame) -> DataFrame:
 def linked_roots(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Rows a, b of roots that the similar pairs of a job join; exact, a row at most for each node."""
     n = len(part)
-    sets = [np.frombuffer(x, "<u8") for x in part["shingles"]]
+    sets = [np.asarray(x, np.int64) for x in part["shingles"]]
     lens = np.array([len(x) for x in sets])
     roots, root = np.unique(part["root"].to_numpy(np.int64), return_inverse=True)
     one = np.flatnonzero(part["side"].to_numpy() == 0)
@@ -174,36 +190,34 @@ def linked_roots(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Columns id, fp, component_id: one row for each row of docs."""
     rows = as_table(signatures(docs, size, id_col, text_col), "signatures")
-    near = fingerprint_classes(rows.select(F.col("node").alias("id"), "fp"), radius).withColumnRenamed("component_id", "class")
-    seen = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "said")).alias("row"), F.max("bands").alias("bands")).join(near, "fp")
-    seen = as_table(seen, "seen")
-    nodes = as_table(seen.groupBy("node").agg(F.min("class").alias("class"), F.min("row").alias("row"), F.max("bands").alias("bands")), "nodes")
+    n = rows.count()
+    near = fingerprint_classes(rows.select(F.col("node").alias("id"), "fp"), radius, n).withColumnRenamed("component_id", "class")
+    seen = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "said")).alias("row"), F.max("len").alias("len"), F.max("bands").alias("bands")).join(near, "fp")
+    seen = as_table(seen, "seen", n)
+    nodes = as_table(seen.groupBy("node").agg(F.min("class").alias("class"), F.min("row").alias("row"), F.max("len").alias("len"), F.max("bands").alias("bands")), "nodes", n)
     same = seen.select("node", F.col("class").alias("b")).join(nodes.select("node", F.col("class").alias("a")), "node").where("a <> b").select("a", "b")
 
-    met = bucketed(nodes)
-    pairs = as_table(candidate_pairs(met), "pairs")
+    met = bucketed(nodes, n)
+    many = met.count()
+    pairs = as_table(candidate_pairs(met, similarity), "pairs", many * CENTRES)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = as_table(shingle_sets(docs, nodes.join(needed, "node", "left_semi"), size, id_col, text_col), "sets")
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
-
+    sets = as_table(shingle_sets(docs, nodes.join(needed, "node", "left_semi"), size, id_col, text_col), "sets", n * WEIGHT)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("shingles").alias("shingles_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("shingles").alias("shingles_b")), "b")
-    links = both.where(alike("shingles_a", "shingles_b")).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    roots = connected_components(links.union(same)).select(F.col("node").alias("class"), "root")
+    links = both.where(jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    roots = connected_components(links.union(same), rows=many).select(F.col("node").alias("class"), "root")
     named = nodes.select("node", "class").join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("root"))
-    named = as_table(named, "named")
+    named = as_table(named, "named", n)
 
     large = met.where(F.col("n") > PAIRED).select("bucket", "node").join(named, "node")
-    tasks = as_table(block_pairs(large), "tasks")
-    if not tasks.isEmpty():
-        sets = as_table(shingle_sets(docs, nodes.join(tasks.select("node").distinct(), "node", "left_semi"), size, id_col, text_col), "sets")
+    tasks = as_table(block_pairs(large, many), "tasks", many * CENTRES)
+    jobs = tasks.count()
+    if jobs:
+        sets = as_table(shingle_sets(docs, nodes.join(tasks.select("node").distinct(), "node", "left_semi"), size, id_col, text_col), "sets", n * WEIGHT)
         found = tasks.join(sets.select("node", "shingles"), "node").groupBy("job").applyInPandas(lambda p: linked_roots(p, similarity), "a long, b long")
-        joined = connected_components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        named = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named")
+        joined = connected_components(found, rows=jobs).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        named = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named", n)
 
     least = rows.groupBy("node").agg(F.min("id").alias("first")).join(named, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    names = as_table(named.join(least, "root").select("node", "component_id"), "names")
+    names = as_table(named.join(least, "root").select("node", "component_id"), "names", n)
     return rows.select("id", "fp", "node").join(names, "node", "left").select("id", "fp", "component_id")
