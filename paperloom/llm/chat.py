@@ -1,13 +1,14 @@
 """Chat formatting: turns to one string a conversation, with a loss mask, and back.
 
 Turns are collected as structs and sorted, adjacent turns of one role merge
-into a block by array aggregation, and blocks are concatenated:
+into a block by array functions over runs, and blocks are concatenated:
 
     <|im_start|>role\\ntext<|im_sep|>text<|im_end|>\\n
 
 Control strings inside texts and roles are escaped by one more backslash after
 ``<``, so nothing but the template holds ``<|``. The loss mask is an array of
-spans, one for each assistant text. DataFrame functions only.
+spans, one for each assistant text, whose places an aggregation over the
+segments' lengths gives. DataFrame functions only.
 
 Cases: a null text or role is empty; null conversation ids form one
 conversation; ties of turn go by role, then text, and repeated rows are turns
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, SEP, END, NEWLINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
+#: Segments or spans of a conversation that are gone through at once.
+PART = 128
 
 
 def escape(text: Column) -> Column:
@@ -36,18 +39,28 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE))
 
 
-def _blocks(turns: Column) -> Column:
-    """Array of (role, texts) from sorted turns: adjacent turns of one role merge."""
-    none = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+def _blocks(turns: Column, starts: Column) -> Column:
+    """Array of (role, texts) from sorted turns and the positions, from 1, where a role begins: adjacent turns of one role merge."""
 
-    def add(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        alone = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        more = F.array(F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts")))
-        joins = F.when(F.size(blocks) > 0, last["role"] == t["role"]).otherwise(F.lit(False))
-        return F.when(joins, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), more)).otherwise(F.concat(blocks, alone))
+    def block(at: Column, k: Column) -> Column:
+        end = F.when(k + 1 < F.size(starts), starts[F.least(k + 1, F.size(starts) - 1)]).otherwise(F.size(turns) + 1)
+        return F.struct(turns[at - 1]["role"].alias("role"), F.transform(F.slice(turns, at, end - at), lambda t: t["text"]).alias("texts"))
 
-    return F.aggregate(turns, none, add)
+    return F.transform(starts, block)
+
+
+def _starts(turns: Column) -> Column:
+    """Positions, from 1, of turns that have another role than the one before."""
+    return F.filter(F.sequence(F.lit(1), F.size(turns)), lambda i: (i == 1) | (turns[i - 1]["role"] != turns[F.greatest(i - 2, F.lit(0))]["role"]))
+
+
+def _parts(array: Column) -> Column:
+    """Numbers, from 0, of the parts of an array, PART elements each: arrays grow within a part only, so that long ones take no quadratic time."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(array) / PART).cast("int") - 1, F.lit(0)))
+
+
+def _part(array: Column, k: Column) -> Column:
+    return F.slice(array, k * PART + 1, F.lit(PART))
 
 
 def _segments(block: Column) -> Column:
@@ -62,7 +75,11 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     empty = F.lit("")
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, empty).alias("role"), F.coalesce(text_col, empty).alias("text"))
     grouped = turns.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    cut = grouped.select("id", _blocks(F.col("turns")).alias("blocks")).select("id", F.flatten(F.transform("blocks", _segments)).alias("segments"))
+    cut = grouped.withColumn("starts", _starts(F.col("turns"))).select("id", _blocks(F.col("turns"), F.col("starts")).alias("blocks"))
+    cut = cut.select("id", F.flatten(F.transform("blocks", _segments)).alias("segments")).withColumn("parts", _parts(F.col("segments")))
+    segments, parts = F.col("segments"), F.col("parts")
+    sizes = F.transform(parts, lambda k: F.aggregate(_part(segments, k), F.lit(0), lambda n, x: n + F.length(x["text"])))
+    tops = F.aggregate("sizes", F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
     none = F.expr("cast(array() as array<struct<start:int,length:int>>)")
 
     def span(s: Column, x: Column) -> Column:
@@ -70,8 +87,9 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         one = F.array(F.struct((s["at"] + 1).alias("start"), n.alias("length")))
         return F.struct((s["at"] + n).alias("at"), F.when(x["masked"], F.concat(s["spans"], one)).otherwise(s["spans"]).alias("spans"))
 
-    spans = F.aggregate("segments", F.struct(F.lit(0).alias("at"), none.alias("spans")), span, lambda s: s["spans"])
-    return cut.select("id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+    spans = F.transform(parts, lambda k: F.aggregate(_part(segments, k), F.struct(F.col("tops")[k].alias("at"), none.alias("spans")), span, lambda s: s["spans"]))
+    placed = cut.withColumn("sizes", sizes).withColumn("tops", tops)
+    return placed.select("id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), F.flatten(spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -88,8 +106,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"]))), "")
+    """All text under the loss mask. Spans stand in order, so each part of them is read from its own stretch of the text."""
+
+    def text(k: Column) -> Column:
+        some = _part(spans, k)
+        first = some[0]["start"]
+        last = F.element_at(some, -1)
+        whole = F.struct(some.alias("some"), first.alias("first"), F.substring(formatted, first, last["start"] + last["length"] - first).alias("stretch"))
+        return F.transform(F.array(whole), lambda w: F.array_join(F.transform(w["some"], lambda s: unescape(F.substring(w["stretch"], s["start"] - w["first"] + 1, s["length"]))), ""))[0]
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(_parts(spans), text), "")).otherwise("")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 A text splits into paragraphs at each newline, and a paragraph into pieces: a
 sentence each, of at most PIECE code points. A section ends after a paragraph
 whose hash begins with 0 or 1, so an edit moves no later border. A piece's hash
-is of its text, every other hash is of the hashes below. The fingerprint holds
-the whole tree:
+is of its text, every other hash is of the whole hashes below, so equal roots
+mean equal texts as surely as SHA-256 does. The fingerprint holds the whole
+tree, the root in full and DIGITS digits of every other hash:
 
     root;section=paragraph:piece,piece|paragraph:piece;section=...
 
-Roots are equal if texts are; branches that differ locate edits; likeness is
-the Dice share of the pieces. DataFrame functions only.
+Branches that differ locate edits; likeness is the Dice share of the pieces.
+DataFrame functions only.
 
 Cases: a null text counts as empty, and empty texts have one fingerprint; texts
 of any length are read whole; an empty table gives an empty result; other
@@ -28,19 +29,23 @@ from .common import as_table, documents
 #: Most code points of a piece; hex digits of a node's hash.
 PIECE, DIGITS = 100, 12
 #: A sentence, or what ends the paragraph, or as much as fits.
-SPLIT = r"(?s).{1,%d}?(?:[.!?]+(?=\s|\z)|\z)|.{1,%d}" % (PIECE - 1, PIECE)
+SPLIT = r"(?s).{1,%d}?(?:[.!?](?=\s|\z)|\z)|.{1,%d}" % (PIECE - 1, PIECE)
 #: Ids that a task puts in order.
 IDS = 50_000
 
 
 def _hash(text: Column) -> Column:
-    return F.left(F.sha2(text, 256), F.lit(DIGITS))
+    return F.sha2(text, 256)
+
+
+def _short(digest: Column) -> Column:
+    return F.left(digest, F.lit(DIGITS))
 
 
 def add_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     """df with the fingerprint of a text column. The steps are columns of their own, so that none is computed twice."""
     cut = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(SPLIT), F.lit(0)), _hash))
-    hashed = F.transform(cut, lambda x: F.struct(_hash(F.array_join(x, ",")).alias("h"), F.array_join(x, ",").alias("pieces")))
+    hashed = F.transform(cut, lambda x: F.struct(_hash(F.array_join(x, ",")).alias("h"), F.array_join(F.transform(x, _short), ",").alias("pieces")))
     out = df.withColumn("__p", hashed)
     p = F.col("__p")
     out = out.withColumn("__e", F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == F.size(p)) | (p[i - 1]["h"] < "2")))
@@ -49,12 +54,13 @@ def add_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     def section(end: Column, k: Column) -> Column:
         before = F.when(k > 0, e[F.greatest(k - 1, F.lit(0))]).otherwise(0)
         inside = F.slice(p, before + 1, end - before)
-        joined = F.array_join(F.transform(inside, lambda x: F.concat(x["h"], F.lit(":"), x["pieces"])), "|")
-        return F.concat(_hash(F.array_join(F.transform(inside, lambda x: x["h"]), "|")), F.lit("="), joined)
+        joined = F.array_join(F.transform(inside, lambda x: F.concat(_short(x["h"]), F.lit(":"), x["pieces"])), "|")
+        return F.struct(_hash(F.array_join(F.transform(inside, lambda x: x["h"]), "|")).alias("h"), joined.alias("below"))
 
     out = out.withColumn("__s", F.transform(e, section))
-    root = F.sha2(F.array_join(F.transform("__s", lambda s: F.left(s, F.lit(DIGITS))), ";"), 256)
-    return out.withColumn(name, F.concat_ws(";", root, F.array_join("__s", ";"))).drop("__p", "__e", "__s")
+    root = _hash(F.array_join(F.transform("__s", lambda s: s["h"]), ";"))
+    told = F.array_join(F.transform("__s", lambda s: F.concat(_short(s["h"]), F.lit("="), s["below"])), ";")
+    return out.withColumn(name, F.concat_ws(";", root, told)).drop("__p", "__e", "__s")
 
 
 def root(fingerprint: Column) -> Column:
@@ -104,14 +110,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Each document against its edited text and the next document: columns id, n_chars, edited, next_fingerprint, fingerprint, edited_fingerprint."""
     lowest = -(1 << 63)
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(lowest)).alias("k"), F.coalesce(text_col, F.lit("")).alias("text"))
-    given = add_fingerprint(keyed.join(_links(keyed), "k").select("home", "take", "text"), F.col("text"), "f")
-    given = given.groupBy("home").agg(F.max(F.struct(F.left("text", F.col("take")).alias("part"), "f")).alias("g"))
-    both = keyed.join(given, keyed["k"] == given["home"])
+    told = add_fingerprint(keyed, F.col("text"), "fingerprint")
+    # Both joins deal texts and fingerprints by k, and so share one exchange: each text is fingerprinted once.
+    given = told.join(_links(keyed).hint("merge"), "k").groupBy("home").agg(F.max(F.struct(F.left("text", F.col("take")).alias("part"), F.col("fingerprint").alias("f"))).alias("g"))
+    both = told.join(given.hint("merge"), told["k"] == given["home"])
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.left("g.part", F.floor(n / 2).cast("int")))
-    both = both.select(F.when(F.col("k") != lowest, F.col("k")).alias("id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("g.f").alias("next_fingerprint"))
-    both = add_fingerprint(add_fingerprint(both, F.col("text"), "fingerprint"), F.col("edited"), "edited_fingerprint")
-    return both.drop("text")
+    both = both.select(F.when(F.col("k") != lowest, F.col("k")).alias("id"), n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("g.f").alias("next_fingerprint"), "fingerprint")
+    return add_fingerprint(both, F.col("edited"), "edited_fingerprint")
 
 
 def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Chat, Merkle trees, line dedup and quality rules: against SQL, plain Python and their stated cases."""
 
 import hashlib
+import random
 import re
+import time
 
 import duckdb
 import pandas as pd
@@ -62,19 +64,36 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    """A conversation of many short turns, in runs and alone, takes time that grows with it and reads back whole."""
+    r = random.Random(4)
+    rows = [(1, i, r.choice(["user", "assistant"]) if i % 500 else "system", f"t{i} <|im_end|> ü" * (i % 3)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(4)
+    began = time.time()
+    out = chat.format_chats(df).select("formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert time.time() - began < 60
+    assert [tuple(t) for t in out["t"]] == [(x[2], x[3]) for x in rows]
+    assert out["loss"] == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert "".join(chat_text(out["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]]) for s in out["loss_spans"]) == out["loss"]
+
+
+def chat_text(escaped):
+    return re.sub(r"<\\(\\*)\|", r"<\1|", escaped)
+
+
 # Merkle
 
 def tree(text):
-    h = lambda s: hashlib.sha256(s.encode()).hexdigest()[:12]
-    cut = re.compile(r"(?s).{1,99}?(?:[.!?]+(?=\s|\Z)|\Z)|.{1,100}")
-    pars = [",".join(h(x) for x in cut.findall(p)) for p in (text or "").split("\n")]
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    cut = re.compile(r"(?s).{1,99}?(?:[.!?](?=\s|\Z)|\Z)|.{1,100}")
+    pars = [[h(x) for x in cut.findall(p)] for p in (text or "").split("\n")]
     sections, now = [], []
     for i, x in enumerate(pars):
-        now.append((h(x), x))
-        if h(x) < "2" or i == len(pars) - 1:
-            sections.append(h("|".join(a for a, _ in now)) + "=" + "|".join(f"{a}:{b}" for a, b in now))
+        now.append((h(",".join(x)), x))
+        if now[-1][0] < "2" or i == len(pars) - 1:
+            sections.append((h("|".join(a for a, _ in now)), "|".join(f"{a[:12]}:{','.join(y[:12] for y in b)}" for a, b in now)))
             now = []
-    return hashlib.sha256(";".join(s[:12] for s in sections).encode()).hexdigest() + ";" + ";".join(sections)
+    return h(";".join(a for a, _ in sections)) + "".join(f";{a[:12]}={b}" for a, b in sections)
 
 
 def leaves(fp):
@@ -102,6 +121,27 @@ def test_merkle(spark, monkeypatch):
         assert r["near"] == pytest.approx(like(tree(t), tree(edited)))
 
 
+def test_merkle_query(spark, sf_dir):
+    """Every column of the query against a plain version of its contract, on a whole table and one with a very long text."""
+    con = duckdb.connect()
+    rows = con.sql(f"select doc_id, coalesce(text, '') from '{sf_dir}/documents.parquet' order by doc_id desc").fetchall()
+    got = {r["doc_id"]: r for r in merkle.op1_merkle(spark, sf_dir).collect()}
+    long = [(7, "A long text. " * 40_000 + "x" * 50_000), (6, "Short.\n\n"), (5, "Ünï " * 30_000)]
+    named = spark.createDataFrame(long, "doc_id long, text string")
+    more = {r["id"]: r for r in merkle.compare_with_next(named).collect()}
+    assert len(got) == len(rows) and len(more) == 3
+    for docs, found in ((rows, got), (long, more)):
+        for (i, text), (_, other) in zip(docs, docs[1:] + docs[:1], strict=True):
+            n, r = len(text), found[i]
+            edited = text[: n - n // 2] + other[: n // 2]
+            assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (n, tree(text), tree(edited))
+            if docs is rows:
+                assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+                assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(tree(text), tree(edited))), pytest.approx(like(tree(text), tree(other))))
+            else:
+                assert (r["edited"], r["next_fingerprint"]) == (edited, tree(other))
+
+
 def test_merkle_locates(spark):
     a, b = "\n".join(f"par {i}." for i in range(80)), "\n".join(f"par {i}." if i != 50 else "changed." for i in range(80))
     df = merkle.add_fingerprint(merkle.add_fingerprint(spark.createDataFrame([(a, b)], "a string, b string"), F.col("a"), "x"), F.col("b"), "y")
