@@ -11,8 +11,9 @@ need no task to hold more than one bucket of them.
 
 Cases: a null text has size 0, and such documents take no words; null is a
 source, the last; rows that repeat an id and text are documents of their own;
-an empty table gives an empty result; other columns are not read. Sources are
-counted on the driver, at most MAX_SOURCES of them.
+an empty table gives an empty result; other columns are not read. Targets are
+set on the driver, for at most MAX_SOURCES sources: more are an error. They go
+to the tasks by a join. A source's distinct lengths meet in one task.
 """
 
 from __future__ import annotations
@@ -104,10 +105,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, seed: int = SEED
 
 @dataclass
 class Mix:
-    """docs: columns id, key, has, src, size, copies, in this mix; sources: (has, src) to its size and target."""
+    """docs: columns id, key, has, src, size, copies, in this mix; sources: columns has, src, source_size, target."""
 
     docs: DataFrame
-    sources: dict[tuple[bool, str], tuple[int, float]]
+    sources: DataFrame
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, share: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
@@ -121,15 +122,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found = sorted(found, key=lambda r: (not r["has"], r["src"]))
     aims = targets([r["total"] for r in found], [weights[i % len(weights)] for i in range(len(found))], cap, share)
-    sources = {(r["has"], r["src"]): (r["total"], t) for r, t in zip(found, aims, strict=True)}
+    rows = [(r["has"], r["src"], r["total"], t) for r, t in zip(found, aims, strict=True)]
+    sources = as_table(docs.sparkSession.createDataFrame(rows, "has boolean, src string, source_size long, target double"), "sources")
     counted = as_table(sized.groupBy("has", "src", "size", "bucket").count(), "counted")
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("size", ignore_index=True)
-        passes, extra = fit(part["size"].to_numpy(), part["n"].to_numpy(), sources[bool(part["has"].iloc[0]), part["src"].iloc[0]][1], seed)
-        return part.assign(passes=passes, extra=extra)
+        passes, extra = fit(part["size"].to_numpy(), part["n"].to_numpy(), float(part["target"].iloc[0]), seed)
+        return part.drop(columns="target").assign(passes=passes, extra=extra)
 
-    by_length = counted.groupBy("has", "src", "size").agg(F.sum("count").alias("n"))
+    by_length = counted.groupBy("has", "src", "size").agg(F.sum("count").alias("n")).join(sources.drop("source_size"), ["has", "src"])
     picks = by_length.groupBy("has", "src").applyInPandas(fitted, "has boolean, src string, size long, n long, passes long, extra long")
     below = Window.partitionBy("has", "src", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counted.withColumn("before", F.coalesce(F.sum("count").over(below), F.lit(0)))
@@ -156,7 +158,5 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", t
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
-    rows = [(has, src, total, aim) for (has, src), (total, aim) in mixed.sources.items()]
-    sources = spark.createDataFrame(rows, "has boolean, src string, source_size long, target double")
-    out = mixed.docs.join(sources, ["has", "src"])
+    out = mixed.docs.join(mixed.sources, ["has", "src"])
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -20,17 +20,19 @@ counts as one; an empty table gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 23
@@ -270,11 +272,12 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, path: st
         return pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, values), flags], names=[*columns, "token_ids", "lossless"])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = model(path)
+        p = model(SparkFiles.get(os.path.basename(path)))
         for b in stream:
-            for i in range(0, b.num_rows, 1000):
-                yield of(b.slice(i, 1000), p)
+            for some in slices(b, text_col):
+                yield of(some, p)
 
+    docs.sparkSession.sparkContext.addFile(path)  # once an application; executors need not have it
     columns = [c for c in docs.columns if c not in ("token_ids", "lossless")]
     schema = docs.select(*columns).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
     return docs.select(*columns).mapInArrow(batches, schema)

@@ -82,15 +82,22 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the stream ends inside a record")
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI, as Python workers reach it, and the folder's path there. Names that only Hadoop has for S3 are mapped."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file, of one member or many, block by block; each input byte is inflated once."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file, of one member or many, block by block; each input byte is inflated once. A member without its end is an error."""
+    z, begun = zlib.decompressobj(31), False
     while block := stream.read(BLOCK):
         while block:
             yield z.decompress(block)
-            block = z.unused_data
+            block, begun = z.unused_data, not z.eof
             if z.eof:
                 z = zlib.decompressobj(31)
+    if begun:
+        raise ValueError("the gzip stream ends before its trailer")
 
 
 def member(data: bytes) -> bytes:
@@ -120,18 +127,21 @@ def choose(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages as columns page_id, url, html, digest, refers_to; refers_to is the response's id for revisits."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select("*", F.sha1(F.encode("html", "utf-8")).alias("digest"))
-    long = rows.where(F.octet_length("html") >= least)
-    chosen = long.groupBy("digest").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").select("digest", "chosen")
+    long = F.octet_length("html") >= least
+    chosen = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").select("digest", "chosen")
     chosen = as_table(chosen, "chosen")
     revisit = F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen"))
-    return rows.join(chosen, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("chosen")).alias("refers_to"))
+    # Small payloads have no response to look for; a key of its own each keeps the empty ones out of one task.
+    key = F.when(long, F.col("digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.xxhash64("page_id", "url").cast("string"), F.lit(""))))
+    keyed = rows.withColumn("key", key)
+    return keyed.join(chosen.withColumnRenamed("digest", "key"), "key", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("chosen")).alias("refers_to"))
 
 
 def write_archives(chosen: DataFrame, folder: str) -> DataFrame:
     """Write monolithic archives; the manifest: column path."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         out = z = path = None
         size = 0
@@ -163,14 +173,14 @@ def normalise(manifest: DataFrame, folder: str, keep: bool = False) -> DataFrame
     """Normalise each archive of a manifest; the new manifest: columns path, n_records. The old archives go, unless kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         for b in batches:
             for source in b.column("path").to_pylist():
                 target = f"{base}/{uuid.uuid4().hex}.warc.gz"
                 yield pa.RecordBatch.from_pydict({"source": [source], "path": [target], "n_records": [normalise_file(fs, source, target)]})
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         for b in batches:
             for source in b.column("source").to_pylist():
                 if fs.get_file_info(source).type == pafs.FileType.File:
@@ -195,7 +205,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         return int(found[1]) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         for b in batches:
             for path in b.column("path").to_pylist():
                 index, size, rows = read_index(fs, path), 0, []

@@ -58,8 +58,9 @@ def test_mix(spark):
     m = mixture.mix(docs)
     out = m.docs.collect()
     assert len(out) == len(rows)
-    assert list(m.sources) == [(True, "s1"), (True, "s2"), (False, "")]
-    for key, (size, target) in m.sources.items():
+    sources = {(r["has"], r["src"]): (r["source_size"], r["target"]) for r in m.sources.collect()}
+    assert set(sources) == {(True, "s1"), (True, "s2"), (False, "")}
+    for key, (size, target) in sources.items():
         own = [r for r in out if (r["has"], r["src"]) == key]
         assert sum(r["size"] for r in own) == size and abs(sum(r["size"] * r["copies"] for r in own) - target) <= 1
     assert all(r["copies"] <= 3 for r in out)
@@ -70,6 +71,58 @@ def test_mix(spark):
     assert mixture.mix(docs.limit(0)).docs.count() == 0
 
 
+def plain_targets(sizes):
+    """Shares by weight; sources above three times their size are held there, one round after the other."""
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    held: dict = {}
+    while True:
+        open_ = [s for s in sizes if s not in held]
+        left = sum(sizes.values()) - sum(held.values())
+        shares = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        over = [s for s in open_ if shares[s] > 3 * sizes[s]]
+        if not over:
+            return held | shares
+        held |= {s: 3 * sizes[s] for s in over}
+
+
+def test_mixture_query(spark, sf_dir):
+    """Every document of a whole table: sizes and targets, as many whole passes as fit, and then the best sum that the source's lengths can make, by the documents with the smallest hashes of a length."""
+    import re
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in mixture.op2_mixture(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    own: dict = {}
+    for r in rows:
+        own.setdefault(r["source"], []).append(r["doc_id"])
+    sizes = {s: sum(size[i] for i in ids) for s, ids in own.items()}
+    aims = plain_targets(sizes)
+    hashed = {r["doc_id"]: (r["k"], r["doc_id"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.xxhash64(F.lit(mixture.SEED), "doc_id", "text").alias("k")).collect()}
+    bucket = lambda i: (hashed[i][0] >> 20) % mixture.BUCKETS
+    for s, ids in own.items():
+        assert all((got[i]["size"], got[i]["source_size"]) == (size[i], sizes[s]) and got[i]["target"] == pytest.approx(aims[s]) for i in ids)
+        passes = int(aims[s] // sizes[s])
+        best = 1
+        for i in ids:
+            best |= best << size[i]
+        rest = round(aims[s] - passes * sizes[s])
+        reach = max(x for x in range(rest + 1) if best >> x & 1)
+        assert sum(got[i]["taken"] for i in ids) == passes * sizes[s] + reach
+        for n in {size[i] for i in ids} - {0}:
+            alike = sorted((i for i in ids if size[i] == n), key=lambda i: (bucket(i), hashed[i]))
+            copies = [got[i]["taken"] // n for i in alike]
+            assert copies == sorted(copies, reverse=True) and set(copies) <= {passes, passes + 1} and max(copies) <= 3
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "MAX_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixture.mix(docs)
+    assert mixture.mix(docs.where("doc_id < 3")).docs.count() == 3
+
+
 # Pieces
 
 ODD = ["", "a", "  ", "aaaa bbbb   cccc", "hello\nworld\n\n x", "日本語 ñandú 😀 \x00 \t z", "ab" * 300, " leading", "trailing  ", "----====", "a▁b ▁ c", "▁", "0" * 50]

@@ -1,6 +1,8 @@
 """Chat, Merkle trees, line dedup and quality rules: against SQL, plain Python and their stated cases."""
 
+import gzip
 import hashlib
+import io
 import random
 import re
 import time
@@ -253,6 +255,23 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(empty, folder).count() == 0
 
 
+def test_cut_streams():
+    """A stream cut anywhere, even within its trailer only, is an error; several members, and none, are not."""
+    data = b"record " * 1000
+    whole = gzip.compress(data)
+    assert b"".join(warc.inflated(io.BytesIO(whole + whole))) == data + data
+    assert b"".join(warc.inflated(io.BytesIO(b""))) == b""
+    for n in (len(whole) - 1, len(whole) - 8, 20, len(whole) + 5):
+        with pytest.raises(ValueError):
+            list(warc.inflated(io.BytesIO((whole + whole)[:n])))
+
+
+def test_file_systems(tmp_path):
+    assert warc.file_system(f"file://{tmp_path}")[1] == str(tmp_path)
+    fs, path = warc.file_system("s3a://bucket/folder?region=us-east-1")
+    assert (fs.type_name, path) == ("s3", "bucket/folder")
+
+
 def test_normaliser_rewrites_records():
     import gzip
     import io
