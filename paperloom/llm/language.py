@@ -36,7 +36,7 @@ from .common import documents, slices, within_sample
 #: Sampled rows, passages of each, and their code points.
 FIT_DOCS, PLACES, SPAN = 4000, 8, 160
 #: States of a direction, steps, stretches of a step and their bytes.
-HIDDEN, STEPS, STRETCHES, BYTES, RATE, SEED = 20, 700, 96, 64, 0.01, 11
+HIDDEN, STEPS, STRETCHES, BYTES, RATE, SEED = 16, 700, 96, 64, 0.01, 11
 #: Bytes of a stretch that is labelled, and of its lead-in on either side; stretches read side by side; bytes of texts in a batch.
 WINDOW, CONTEXT, BESIDE, BATCH = 256, 32, 1024, 1 << 20
 #: The symbol beyond the ends of a text: it leaves the state at zero.
@@ -165,38 +165,45 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED)
 
 
 class Reader:
-    """Sums of position probabilities of texts."""
+    """Sums of position probabilities of texts.
+
+    Gates are rows here and stretches columns, so that each step works on long rows. Sigmoids are
+    taken as (1 + tanh(x / 2)) / 2, the halves of which are in the weights.
+    """
 
     def __init__(self, net: Net):
         self.net = net
-        # A symbol's gates with the bias; of the symbol beyond the ends none, which keeps the state zero at zero.
-        self.table = {d: np.concatenate([net.w[f"x{d}"] + net.w[f"b{d}"], np.zeros((1, net.w[f"b{d}"].shape[0]), np.float32)]) for d in "fb"}
+        self.w = {}
+        for d in "fb":
+            hidden = net.w[f"u{d}"].shape[0]
+            halves = np.repeat(np.float32([0.5, 0.5, 1]), hidden)[:, None]
+            # A symbol's gates with the bias; of the symbol beyond the ends none, which keeps the state zero at zero.
+            symbols = np.concatenate([net.w[f"x{d}"] + net.w[f"b{d}"], np.zeros((1, 3 * hidden), np.float32)])
+            self.w[d] = np.ascontiguousarray(symbols.T * halves), np.ascontiguousarray(net.w[f"u{d}"].T * np.float32(0.5)), np.ascontiguousarray(net.w[f"o{d}"].T)
 
     def scores(self, d: str, x: np.ndarray, active: np.ndarray) -> np.ndarray:
         """What one direction adds to each language at each position: out[t, language, n], for symbols x[t, n]."""
-        u, o, table = self.net.w[f"u{d}"], np.ascontiguousarray(self.net.w[f"o{d}"].T), self.table[d]
-        hidden, n = u.shape[0], x.shape[1]
-        h, gx, gu = np.zeros((n, hidden), np.float32), np.empty((n, 3 * hidden), np.float32), np.empty((n, 3 * hidden), np.float32)
+        symbols, u, o = self.w[d]
+        hidden, n = u.shape[1], x.shape[1]
+        states, read, own = np.zeros((hidden, n), np.float32), np.empty((3 * hidden, n), np.float32), np.empty((3 * hidden, n), np.float32)
         out = np.zeros((len(x), len(self.net.langs), n), np.float32)
         for t in range(len(x)) if d == "f" else reversed(range(len(x))):
             a = active[t]
-            g, own, state = gx[:a], gu[:a], h[:a]
-            np.take(table, x[t, :a], axis=0, out=g)
-            np.matmul(state, u, out=own)
-            zr = g[:, : 2 * hidden]
-            zr += own[:, : 2 * hidden]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
+            h, g, gu = states[:, :a], read[:, :a], own[:, :a]
+            np.take(symbols, x[t, :a], axis=1, out=g, mode="clip")
+            np.matmul(u, h, out=gu)
+            zr, z, r, new = g[: 2 * hidden], g[:hidden], g[hidden : 2 * hidden], gu[2 * hidden :]
+            zr += gu[: 2 * hidden]
+            np.tanh(zr, out=zr)
             zr += 1
-            np.reciprocal(zr, out=zr)
-            new = own[:, 2 * hidden :]
-            new *= zr[:, hidden:]
-            new += g[:, 2 * hidden :]
+            new *= r
+            new += g[2 * hidden :]
             np.tanh(new, out=new)
-            state -= new
-            state *= zr[:, :hidden]
-            state += new
-            out[t, :, :a] = o @ state.T
+            h -= new
+            z *= 0.5
+            h *= z
+            h += new
+            np.matmul(o, h, out=out[t, :, :a])
         return out
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
