@@ -77,3 +77,9 @@ class Anchor:
 # Anchors of the delivery challan, the second if the first finds nothing.
 GATE_PASS = Anchor("G/P#", 0.014, x_min=0.55)
 CHALLAN = Anchor("DC#", 0.024, x_max=0.50, right_of_label=True)
+ANCHORS = (("delivery_challan", GATE_PASS), ("delivery_challan", CHALLAN))
+
+# Zooms at which a detected crop is read, and the margin around each.
+ZOOMS, MARGIN = (0.8, 1.0, 1.2), 24
+# Fixed value: the least share of a crop's height that a digit's stroke has.
+GLYPH_HEIGHT = 0.3

@@ -35,7 +35,8 @@ def admitted(attempts: DataFrame, key: str, cap: int = CALL_CAP, window: float =
 
     The rule is recursive, so a key's attempts are taken one after the other.
     They stream through a task in order, batch by batch: it holds the admitted
-    calls of one key that still count, cap at most, and never a whole key.
+    calls of one key that still count, cap at most, and never a whole key. An
+    attempt without a key is in no window: it stays, and admitted is null.
     """
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +51,8 @@ def admitted(attempts: DataFrame, key: str, cap: int = CALL_CAP, window: float =
             yield part.assign(admitted=flags)
 
     rows = attempts.where(F.col(key).isNotNull()).select(key, "id", "t")
-    return rows.repartition(key).sortWithinPartitions(key, "t", "id").mapInPandas(fold, _with_flag(rows))
+    found = rows.repartition(key).sortWithinPartitions(key, "t", "id").mapInPandas(fold, _with_flag(rows))
+    return found.union(attempts.where(F.col(key).isNull()).select(key, "id", "t", F.lit(None).cast("boolean").alias("admitted")))
 
 
 def admitted_stream(attempts: DataFrame, key: str, cap: int = CALL_CAP, window: float = CALL_WINDOW) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.params import DUPLICATES, OUTLIER_LEAST, OUTLIER_MARGIN
+from paperloom.functions.params import DUPLICATES, GLYPH_HEIGHT, OUTLIER_LEAST, OUTLIER_MARGIN
 from paperloom.functions.text import all_digits
+from paperloom.operators.routing import numbered
 
 #: Approximate quantiles that split a book's numbers before they are ranked.
 CUTS = 200
@@ -84,6 +85,46 @@ def sweep(scored: DataFrame, settings: Sequence[float], score: Column, truth: Co
     return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def truth_join(log: DataFrame, cands: DataFrame, page: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """log (page, number) with the first candidate of the page, in order, that reads the same; rows without one are left out, a page is used once for each log row."""
+    first = cands.groupBy(*page, "digits").agg(F.min(F.struct(*order)).alias("at"))
+    return log.join(first.withColumnRenamed("digits", "number"), [*page, "number"]).select(*log.columns, "at.*")
+
+
+def read_accuracy(read: DataFrame, truth: Column, prediction: Column) -> DataFrame:
+    """One row: correct, total, accuracy of predictions; none counts as wrong."""
+    right = F.coalesce(truth == prediction, F.lit(False))
+    return read.agg(F.count_if(right).alias("correct"), F.count("*").alias("total")).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 6))
+
+
+def wrong_reads(read: DataFrame, truth: Column, prediction: Column) -> DataFrame:
+    """Rows whose prediction is not the truth."""
+    return read.where(~F.coalesce(truth == prediction, F.lit(False)))
+
+
+def glyphs(boxes: DataFrame, crop: Sequence[str], number: str, least: float = GLYPH_HEIGHT) -> DataFrame:
+    """Columns crop, digit, x: the strokes (x, height share) of a crop from left to right, each with its digit of the number; crops with more or fewer are left out."""
+    cut = boxes.where(F.col("share") >= F.lit(least)).groupBy(*crop, number).agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") == F.length(number))
+    told = F.transform("xs", lambda x, i: F.struct(F.substring(F.col(number), i + 1, F.lit(1)).alias("digit"), x.alias("x")))
+    return cut.select(*crop, F.inline(told))
+
+
+def per_page(log: DataFrame, group: Sequence[str], seconds: Column) -> DataFrame:
+    """Columns group, pages, elapsed, per_page: time from the first to the last row, and for each page."""
+    by = log.groupBy(*group).agg(F.count("*").alias("pages"), (F.max(seconds) - F.min(seconds)).alias("elapsed"))
+    return by.withColumn("per_page", F.round(F.col("elapsed") / F.col("pages"), 6))
+
+
+def percent(done: Column, total: Column) -> Column:
+    """Whole percent, halves up; null of nothing."""
+    return F.when(total > 0, F.floor(done * 100.0 / total + 0.5).cast("long"))
+
+
+def training_batches(rows: DataFrame, mixed: Column, size: int = 64) -> DataFrame:
+    """rows with batch: shuffled by a hash, size rows each but the last. Numbered across tasks, none holds all."""
+    return numbered(rows.withColumn("__h", mixed).withColumn("__all", F.lit(0)), ["__all"], ["__h"], "__i").withColumn("batch", F.floor((F.col("__i") - 1) / size).cast("long")).drop("__h", "__all", "__i")
+
+
 def calls_within(calls: DataFrame, key: Sequence[str], now: Column, seconds: int) -> DataFrame:
     """Columns key, n: calls less than so many seconds before now; one exactly so old no longer counts."""
     return calls.groupBy(*key).agg(F.count_if(F.col("t") > now - seconds).alias("n"))

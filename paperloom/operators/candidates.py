@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import params
+from paperloom.functions.text import digits_of
 from paperloom.functions.params import Anchor, Band
 
 
@@ -90,6 +91,50 @@ def crop(raster_w: Column, raster_h: Column, w: Column, h: Column) -> Column:
     return F.when(big, F.struct(x0.alias("cx0"), y0.alias("cy0"), x1.alias("cx1"), y1.alias("cy1")))
 
 
+def tight_crop() -> Column:
+    """Struct cx0, cy0, cx1, cy1 of the bare box in the large raster, neither padded nor clipped; null if it is empty."""
+    scaled = {c: (F.col(c).cast("int") * F.lit(params.CROP_SCALE)).cast("int") for c in ("x0", "y0", "x1", "y1")}
+    return F.when((scaled["x1"] > scaled["x0"]) & (scaled["y1"] > scaled["y0"]), F.struct(*(v.alias(f"c{k}") for k, v in scaled.items())))
+
+
+def anchored_crop(x: Column, y: Column, width: Column, height: Column, shares: Sequence[Column], raster_w: Column, raster_h: Column) -> Column:
+    """Struct cx0, cy0, cx1, cy1 of a field that stands at shares (from x, to x, from y, to y) of an anchor's box, clipped to the raster; null if too small."""
+    at = lambda a, b, share: ((a + b * share) * F.lit(params.CROP_SCALE)).cast("int")
+    x0, x1 = F.greatest(F.lit(0), at(x, width, shares[0])), F.least(raster_w, at(x, width, shares[1]))
+    y0, y1 = F.greatest(F.lit(0), at(y, height, shares[2])), F.least(raster_h, at(y, height, shares[3]))
+    big = (x1 - x0 >= params.MIN_CROP[0]) & (y1 - y0 >= params.MIN_CROP[1])
+    return F.when(big, F.struct(x0.alias("cx0"), y0.alias("cy0"), x1.alias("cx1"), y1.alias("cy1")))
+
+
+def zoomed(width: Column, height: Column, zooms: Sequence[float] = params.ZOOMS) -> Column:
+    """Array of zoom, zw, zh, smooth: the size of each variant that is read of a crop, with its quiet margin, and whether it is enlarged smoothly or averaged down."""
+    size = lambda v, z: (F.rint(v * F.lit(z)) + 2 * params.MARGIN).cast("int")
+    return F.array(*(F.struct(F.lit(z).alias("zoom"), size(width, z).alias("zw"), size(height, z).alias("zh"), F.lit(z >= 1).alias("smooth")) for z in zooms))
+
+
+def column_has_digits(items: DataFrame, page: Sequence[str], y_lo: float = 0.02, y_hi: float = 0.30, x_max: float = 0.45) -> DataFrame:
+    """Columns page, written: whether any item (text, x0, y0, w, h) in a field column holds a digit."""
+    inside = (F.col("x0") <= F.lit(x_max) * F.col("w")) & F.col("y0").between(F.lit(y_lo) * F.col("h"), F.lit(y_hi) * F.col("h"))
+    return items.groupBy(*page).agg(F.coalesce(F.bool_or(inside & (digits_of(F.col("text")) != "")), F.lit(False)).alias("written"))
+
+
+def for_type(cands: DataFrame, labels: DataFrame, page: Sequence[str], order: Sequence[str], bands: Sequence[Band] = params.BANDS, anchors: Sequence[tuple[str, Anchor]] = params.ANCHORS) -> DataFrame:
+    """The candidates of pages whose type is known, with region and place: each type by its own rule, all pages at once.
+
+    cands has a column type; types with bands keep what lies in them, a box of two regions once. Types with anchors take the first anchor that finds
+    something on the page; labels has (page, marker, ly, lx1). Other types have none.
+    """
+    found = distinct_boxes(in_bands(cands, bands), page, ["region", *order])
+    for kind in dict.fromkeys(k for k, _ in anchors):
+        mine = cands.where(F.col("type") == kind)
+        chosen = None
+        for _, anchor in (a for a in anchors if a[0] == kind):
+            some = anchored(mine, labels.where(F.col("marker") == anchor.marker), page, anchor)
+            chosen = some if chosen is None else first_that_finds(chosen, some, page)
+        found = found.unionByName(chosen.withColumn("region", F.lit(0)))
+    return ranked(found, page, ["region", *order])
+
+
 def readable_shape(width: Column, height: Column) -> Column:
     """Whether the second reader takes a crop: not empty, and not too wide."""
     return (width > 0) & (height > 0) & (width / height <= F.lit(params.MAX_ASPECT))

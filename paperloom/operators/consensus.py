@@ -18,15 +18,17 @@ def best_read(reads: DataFrame, image: Sequence[str], order: Sequence[str]) -> D
     return valid.groupBy(*image).agg(F.min_by(F.struct("digits", "score"), key).alias("best")).select(*image, "best.digits", "best.score")
 
 
-def vote(reads: DataFrame, crop: Sequence[str]) -> DataFrame:
-    """Columns crop, text, votes, variants from reads (crop, zoom_idx, text or null).
+def vote(reads: DataFrame, crop: Sequence[str], deal: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Columns crop, text, votes, variants, carry from reads (crop, zoom_idx, text or null, carry).
 
-    The commonest text, of equals the one seen first; variants counts zooms, also those without a text. No text at all gives null.
+    The commonest text, of equals the one seen first; variants counts zooms, also those without a text. No text at all gives null. carry are columns that
+    all reads of a crop share. Rows are dealt once, by deal (some of crop, as the page), and that serves both aggregates and what is done by it next.
     """
-    by_text = reads.groupBy(*crop, "text").agg(F.count("*").alias("votes"), F.min("zoom_idx").alias("first"))
+    dealt = reads.repartition(*(deal or crop))
+    by_text = dealt.groupBy(*crop, "text").agg(F.count("*").alias("votes"), F.min("zoom_idx").alias("first"), *(F.max(c).alias(c) for c in carry))
     said = F.when(F.col("text").isNotNull(), F.struct((-F.col("votes")).alias("v"), "first"))
-    best = by_text.groupBy(*crop).agg(F.min_by(F.struct("text", "votes"), said).alias("best"), F.sum("votes").alias("variants"))
-    return best.select(*crop, F.col("best.text").alias("text"), F.col("best.votes").alias("votes"), F.when(F.col("best.text").isNotNull(), F.col("variants")).alias("variants"))
+    best = by_text.groupBy(*crop).agg(F.min_by(F.struct("text", "votes"), said).alias("best"), F.sum("votes").alias("variants"), *(F.max(c).alias(c) for c in carry))
+    return best.select(*crop, F.col("best.text").alias("text"), F.col("best.votes").alias("votes"), F.when(F.col("best.text").isNotNull(), F.col("variants")).alias("variants"), *carry)
 
 
 def select_reading(nominated: Column, text: Column, votes: Column, variants: Column, prediction: Column) -> Column:

@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.params import FOLDERS
+from paperloom.functions.text import all_digits, extension, strip
+from paperloom.operators.routing import unique_names
+
 
 def zero_filled(rows: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """Columns key, n: how many rows each of the given values has, none included. Counts come first, so few rows are joined."""
-    named = F.broadcast(rows.sparkSession.createDataFrame([(v,) for v in values], f"{key} string"))
-    return named.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """Columns key, n: how many rows each of the given values has, none included. Counts of these values only, so as many at most, are broadcast."""
+    named = rows.sparkSession.createDataFrame([(v,) for v in values], f"{key} string")
+    counts = rows.where(F.col(key).isin(list(values))).groupBy(key).agg(F.count("*").alias("n"))
+    return named.join(F.broadcast(counts), key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def snapshot(log: DataFrame, bundle: str, status: str, names: dict[str, str]) -> DataFrame:
@@ -36,6 +41,43 @@ def latest(log: DataFrame, key: Sequence[str], priority: Column, line: str, keep
     return log.groupBy(*key).agg(best.alias("row")).select(*key, "row.*")
 
 
+def union_of_logs(results: DataFrame, rescues: DataFrame) -> DataFrame:
+    """Both logs as one, with source_prio: a rescue overrides what the results log says, whatever came last."""
+    return results.withColumn("source_prio", F.lit(0)).unionByName(rescues.withColumn("source_prio", F.lit(1)))
+
+
+def in_folders(rows: DataFrame, kind: str = "type", folders: dict[str, str] = FOLDERS) -> DataFrame:
+    """rows with folder: that of their type's book, null for other types. A few names are broadcast."""
+    named = rows.sparkSession.createDataFrame(list(folders.items()), "__kind string, folder string")
+    return rows.join(F.broadcast(named), F.col(kind) == F.col("__kind"), "left").drop("__kind")
+
+
+def correction_log(corrections: DataFrame, existing: DataFrame, order: Sequence[str], note: str = "corrected") -> DataFrame:
+    """Log rows source_file, page, status, type, destination, order of valid corrections (source_file, type, number, ext): what filing them writes.
+
+    Digits only, after white space at the ends, and a known type; the name is the first that is free in the type's folder, in order. existing has (folder,
+    stem, n) for names taken. note is corrected, renamed or restored: a page under review, filed or discarded takes the same way.
+    """
+    number = strip(F.col("number"))
+    valid = in_folders(corrections.withColumn("stem", number)).where(all_digits(F.col("stem")) & F.col("folder").isNotNull())
+    named = unique_names(valid, existing, order)
+    return named.select("source_file", F.lit(None).cast("int").alias("page"), F.lit(note).alias("status"), "type", F.concat(F.lit("scanned/"), "folder", F.lit("/"), "name").alias("destination"), *order)
+
+
+def discard_log(pages: DataFrame, existing: DataFrame, order: Sequence[str], note: str = "manual") -> DataFrame:
+    """Log rows source_file, page, matched_type, destination, order of filed pages (filename) that a reviewer discards, under free names of the discard folder."""
+    name = F.col("filename")
+    ext = extension(name)
+    moved = pages.withColumn("folder", F.lit("discarded")).withColumn("ext", ext).withColumn("stem", F.left(name, F.length(name) - F.length(ext)))
+    named = unique_names(moved, existing, order)
+    return named.select(F.col("filename").alias("source_file"), F.lit(None).cast("int").alias("page"), F.lit(note).alias("matched_type"), F.concat(F.lit("discarded/"), "name").alias("destination"), *order)
+
+
+def without(pages: DataFrame, moved: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The pages, or suggestions, that are left when those of moved are gone: a page that leaves a pool leaves its list and its suggestion."""
+    return pages.join(moved.select(*key).distinct(), list(key), "left_anti")
+
+
 def review_view(pages: DataFrame, detected: DataFrame, suggested: DataFrame, key: str) -> DataFrame:
     """Pages under review with the type that was detected and the number that was suggested, if any."""
     return pages.join(detected, key, "left").join(suggested, key, "left")

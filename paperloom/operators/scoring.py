@@ -62,6 +62,11 @@ def arg_max(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def encode_label(digits: Column) -> Column:
+    """Frames of a label: each digit and one, so that zero is left for the blank."""
+    return F.transform(F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0)), lambda d: d.cast("int") + 1)
+
+
 def collapse(frames: Column) -> Column:
     """Digits of frames (0 blank, else digit + 1): a frame equal to the one before it says nothing new; null if nothing is left."""
     kept = F.filter(F.transform(frames, lambda v, i: F.when((v != 0) & ((i == 0) | (v != frames[F.greatest(i - 1, F.lit(0))])), v - 1)), lambda v: v.isNotNull())

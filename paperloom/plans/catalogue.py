@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from paperloom.functions import params, text
 from paperloom.functions.params import Anchor, Band
 from paperloom.operators import admission, analytics, candidates, classify, consensus, ledger, routing, scoring
+from paperloom.operators import pages as pages_plan
 from paperloom.plans import standins as S
+from paperloom.sources import files, sinks
 from paperloom.streaming import ledger_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,8 +77,7 @@ def english_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Candidates
 
-#: Bands of the test page, whose corners lie between 1 and 50 of 100.
-BANDS = (Band("gas_cylinder", 0.0, 0.11, 0.55, 1.0), Band("da_gas", 0.0, 0.31, 0.55, 1.0), Band("liquid_nitrogen", 0.10, 0.20, 0.10, 0.35), Band("liquid_nitrogen", 0.06, 0.21, 0.65, 0.92, 3, 4), Band("liquid_tank_decant", 0.08, 0.22, 0.65, 1.0))
+BANDS = params.BANDS
 _BANDS = ", ".join(f"('{b.type}', {b.y_lo}::DOUBLE, {b.y_hi}::DOUBLE, {b.x_min}::DOUBLE, {b.x_max}::DOUBLE, {b.digits_lo}, {b.digits_hi}, {i})" for i, b in enumerate(BANDS))
 _IN_BANDS = f"""bands(b_type, y_lo, y_hi, x_min, x_max, digits_lo, digits_hi, region) AS (VALUES {_BANDS}),
 inside AS (SELECT c.*, region FROM candidates c JOIN bands ON type = b_type AND x0 BETWEEN x_min * w AND x_max * w AND y0 BETWEEN y_lo * h AND y_hi * h
@@ -131,10 +132,11 @@ def dual_region_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(S.sql("candidates", f""", p AS (SELECT {KEYS}, greatest(0::DOUBLE, x0 - (x1 - x0) * 0.3::DOUBLE) AS a, greatest(0::DOUBLE, y0 - (y1 - y0) * 0.3::DOUBLE) AS b,
-  least(100::DOUBLE, x1 + (x1 - x0) * 0.3::DOUBLE) AS c, least(100::DOUBLE, y1 + (y1 - y0) * 0.3::DOUBLE) AS d FROM candidates),
+@query(S.sql("candidates", f""", wide AS (SELECT {KEYS}, x0, y0, x1 + 10 AS x1, y1 FROM candidates),
+p AS (SELECT {KEYS}, greatest(0::DOUBLE, x0 - (x1 - x0) * 0.3::DOUBLE) AS a, greatest(0::DOUBLE, y0 - (y1 - y0) * 0.3::DOUBLE) AS b,
+  least(100::DOUBLE, x1 + (x1 - x0) * 0.3::DOUBLE) AS c, least(100::DOUBLE, y1 + (y1 - y0) * 0.3::DOUBLE) AS d FROM wide),
 q AS (SELECT {KEYS}, least(340, CAST(trunc(a * 3.4::DOUBLE) AS INT)) AS cx0, least(340, CAST(trunc(b * 3.4::DOUBLE) AS INT)) AS cy0, least(340, CAST(trunc(c * 3.4::DOUBLE) AS INT)) AS cx1, least(340, CAST(trunc(d * 3.4::DOUBLE) AS INT)) AS cy1 FROM p)
-SELECT *, CAST(cx1 - cx0 AS DOUBLE) / (cy1 - cy0) <= 4.5::DOUBLE AS readable FROM q WHERE cx1 - cx0 >= 40 AND cy1 - cy0 >= 30""").replace("x1 + (x1 - x0)", "(x1 + 10) + ((x1 + 10) - x0)").replace("x0 - (x1 - x0)", "x0 - ((x1 + 10) - x0)"))
+SELECT *, CAST(cx1 - cx0 AS DOUBLE) / (cy1 - cy0) <= 4.5::DOUBLE AS readable FROM q WHERE cx1 - cx0 >= 40 AND cy1 - cy0 >= 30"""))
 def crop_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = S.candidates(spark, sf_dir).withColumn("x1", F.col("x1") + 10)
     out = wide.select(*S.KEY, candidates.crop(F.lit(340), F.lit(340), F.col("w"), F.col("h")).alias("c")).where("c is not null").select(*S.KEY, "c.*")
@@ -151,7 +153,7 @@ def best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.sql("reads voted", f"SELECT {KEYS}, text, votes, variants FROM voted"))
 def vote_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.vote(S.reads(spark, sf_dir), S.KEY)
+    return consensus.vote(S.reads(spark, sf_dir), S.KEY, deal=["l_orderkey"])
 
 
 def _finals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +173,7 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.sql("reads voted", f"""SELECT {KEYS}, text, CASE WHEN text IS NULL OR votes < 2 THEN 'unreadable' WHEN votes < variants THEN 'review' ELSE 'accepted' END AS status,
   round(CAST(votes AS DOUBLE) / variants, 6) AS agreement FROM voted"""))
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = consensus.vote(S.reads(spark, sf_dir), S.KEY)
+    v = consensus.vote(S.reads(spark, sf_dir), S.KEY, deal=["l_orderkey"])
     cols = [F.col(c) for c in ("text", "votes", "variants")]
     return v.select(*S.KEY, "text", consensus.status(*cols).alias("status"), F.round(consensus.agreement(*cols[1:]), 6).alias("agreement"))
 
@@ -297,13 +299,23 @@ def book_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.zero_filled(S.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("label")), "label", BOOKS)
 
 
-@query("""SELECT user_id, event_id, event_type FROM events WHERE event_type <> 'view'
+@query("""SELECT user_id, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END DESC, event_id DESC) = 1""")
 def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = S.table(spark, sf_dir, "events").where("event_type <> 'view'")
+    log = S.table(spark, sf_dir, "events")
     return ledger.latest(log, ["user_id"], (F.col("event_type") == "error").cast("int"), "event_id", ["event_id", "event_type"])
 
 
+@query("""WITH results AS (SELECT user_id AS page, event_type AS type, event_id AS line, 0 AS source_prio FROM events),
+rescues AS (SELECT o_custkey AS page, o_orderpriority AS type, o_orderkey AS line, 1 AS source_prio FROM orders WHERE o_orderstatus = 'P'),
+both_logs AS (SELECT * FROM results UNION ALL SELECT * FROM rescues)
+SELECT page, type, line, source_prio FROM both_logs QUALIFY row_number() OVER (PARTITION BY page ORDER BY source_prio DESC, line DESC) = 1""")
+def union_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("type"), F.col("event_id").alias("line"))
+    rescues = S.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("page"), F.col("o_orderpriority").alias("type"), F.col("o_orderkey").alias("line"))
+    return ledger.latest(ledger.union_of_logs(results, rescues), ["page"], F.col("source_prio"), "line", ["type", "line", "source_prio"])
+
+
 @query("""SELECT d.doc_id, l.quality AS detected, CAST(json_extract(e.props, '$.k') AS BIGINT) AS suggested FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN events e ON d.doc_id = e.event_id""")
 def review_queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     detected = S.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("detected"))
@@ -311,7 +323,7 @@ def review_queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.review_view(S.table(spark, sf_dir, "documents").select("doc_id"), detected, suggested, "doc_id")
 
 
-@query("SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END, '') AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id".replace("coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END, '')", "CASE WHEN l.doc_id IS NULL THEN '' WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END"))
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '' WHEN l.toxic = 1 THEN 'toxic' ELSE 'manual' END AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def discard_reasons_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     reasons = S.table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("manual").alias("reason"))
     return ledger.discard_view(S.table(spark, sf_dir, "documents").select("doc_id"), reasons, "doc_id")
@@ -344,13 +356,8 @@ def anomaly_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.anomaly_groups(analytics.duplicate_groups(S.filed(spark, sf_dir)), analytics.outlier_groups(S.numbered_events(spark, sf_dir)))
 
 
-@query(S.sql("filed dups", "SELECT kind, count(*) AS n_groups FROM (SELECT 'duplicate' AS kind FROM dups) GROUP BY 1"))
-def anomaly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.duplicate_groups(S.filed(spark, sf_dir)).groupBy(F.lit("duplicate").alias("kind")).agg(F.count("*").alias("n_groups"))
-
-
 @query(S.sql("filed dups outliers", "SELECT kind, count(*) AS n_groups FROM (SELECT 'duplicate' AS kind FROM dups UNION ALL SELECT 'outlier' FROM outs) GROUP BY 1"))
-def anomaly_kind_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anomaly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.anomaly_totals(anomaly_groups(spark, sf_dir))
 
 
@@ -496,3 +503,284 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_stream.resumed(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+
+
+# A page from its candidates to its place
+
+#: Labels of the test page: order lines returned, of two markers.
+_MARK = "CASE l_linenumber % 2 WHEN 1 THEN 'G/P#' ELSE 'DC#' END"
+_CHALLAN = f"""challan AS (SELECT * FROM candidates WHERE type = 'delivery_challan'),
+marks AS (SELECT l_orderkey, {_MARK} AS marker, (y0 + y1) / 2 AS ly, x1 AS lx1 FROM candidates WHERE is_label),
+gp AS (SELECT c.*, 0 AS region FROM challan c WHERE x0 BETWEEN 0.55::DOUBLE * w AND 1.0::DOUBLE * w
+  AND EXISTS (SELECT 1 FROM marks m WHERE m.l_orderkey = c.l_orderkey AND m.marker = 'G/P#' AND abs((c.y0 + c.y1) / 2 - m.ly) <= 0.014::DOUBLE * c.h)),
+dc AS (SELECT c.*, 0 AS region FROM challan c WHERE x0 BETWEEN 0.0::DOUBLE * w AND 0.5::DOUBLE * w
+  AND EXISTS (SELECT 1 FROM marks m WHERE m.l_orderkey = c.l_orderkey AND m.marker = 'DC#' AND abs((c.y0 + c.y1) / 2 - m.ly) <= 0.024::DOUBLE * c.h AND c.x0 >= m.lx1))"""
+_FOUND = f"""{_IN_BANDS}, {_CHALLAN},
+boxes AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY l_orderkey, x0, y0, x1, y1 ORDER BY region, l_linenumber, l_partkey, l_suppkey) = 1),
+found AS (SELECT * FROM boxes UNION ALL SELECT * FROM gp UNION ALL SELECT * FROM dc WHERE l_orderkey NOT IN (SELECT l_orderkey FROM gp))"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ = S.candidates(spark, sf_dir)
+    labels = all_.where("is_label").select("l_orderkey", F.expr(_MARK).alias("marker"), ((F.col("y0") + F.col("y1")) / 2).alias("ly"), F.col("x1").alias("lx1"))
+    return candidates.for_type(all_, labels, ["l_orderkey"], S.TIE)
+
+
+@query(S.sql("candidates", f""", {_FOUND}
+SELECT {KEYS}, type, digits, region, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(trunc(y1) AS INT) - CAST(trunc(y0) AS INT) DESC, region, l_linenumber, l_partkey, l_suppkey) AS place FROM found"""))
+def candidates_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir).select(*S.KEY, "type", "digits", "region", "place")
+
+
+_KIND = "CASE o_orderkey % 11 WHEN 0 THEN 'irrelevant:petty_cash_ledger' WHEN 1 THEN 'other' ELSE kind END"
+_FOLDERS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in params.FOLDERS.items())
+
+
+@query(S.sql("candidates reads voted readings gated", f""", {_FOUND}, nominated AS (SELECT DISTINCT {KEYS} FROM found),
+kept AS (SELECT g.* FROM gated g SEMI JOIN nominated n USING ({KEYS})),
+pages_read AS (SELECT l_orderkey, count(*) AS n_read, CASE WHEN count(DISTINCT text) FILTER (WHERE status = 'accepted') = 1 THEN min(text) FILTER (WHERE status = 'accepted') END AS number FROM kept GROUP BY l_orderkey),
+pages_typed AS (SELECT o_custkey, o_orderkey, {_KIND} AS type, coalesce(n_read, 0) AS n_read, number
+  FROM (SELECT *, {list(S.TYPES)}[o_orderkey % 5 + 1] AS kind FROM orders) o LEFT JOIN pages_read ON l_orderkey = o_orderkey),
+tagged AS (SELECT *, printf('%d_p%03d.pdf', o_custkey, o_orderkey + 1) AS tag, CASE type {_FOLDERS} END AS book FROM pages_typed)
+SELECT o_orderkey, type, n_read, number, CASE WHEN type LIKE 'irrelevant:%' OR type = 'other' THEN 'discarded' WHEN number IS NOT NULL THEN 'scanned' ELSE 'review' END AS status,
+  CASE WHEN type LIKE 'irrelevant:%' OR type = 'other' THEN 'discarded' WHEN number IS NOT NULL THEN 'scanned/' || book ELSE 'review' END AS folder,
+  CASE WHEN type LIKE 'irrelevant:%' OR type = 'other' OR number IS NULL THEN tag ELSE number || '.pdf' END AS name,
+  CASE WHEN type LIKE 'irrelevant:%' THEN substr(type, 12) WHEN type = 'other' THEN 'unclassified' END AS kind FROM tagged"""))
+def page_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page from its type to its place: candidates by type, votes of their reads, the second reader, the gate, one number a page, the route."""
+    kind = F.element_at(F.array(*map(F.lit, S.TYPES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    name = F.concat(F.col("o_custkey").cast("string"), F.lit(".pdf"))
+    pages = S.table(spark, sf_dir, "orders").withColumn("kind", kind).select("o_orderkey", F.expr(_KIND).alias("type"), text.page_tag(name, F.col("o_orderkey")).alias("tag"), text.extension(name).alias("ext"))
+    finals = _finals(spark, sf_dir).join(_found(spark, sf_dir).select(*S.KEY).distinct(), list(S.KEY), "left_semi")
+    return pages_plan.decided(pages, finals.withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"])
+
+
+@query(S.sql("candidates", f"""SELECT {KEYS}, CAST(trunc(trunc(x0) * 3.4::DOUBLE) AS INT) AS cx0, CAST(trunc(trunc(y0) * 3.4::DOUBLE) AS INT) AS cy0,
+  CAST(trunc(trunc(x1) * 3.4::DOUBLE) AS INT) AS cx1, CAST(trunc(trunc(y1) * 3.4::DOUBLE) AS INT) AS cy1 FROM candidates WHERE CAST(trunc(trunc(y1) * 3.4::DOUBLE) AS INT) > CAST(trunc(trunc(y0) * 3.4::DOUBLE) AS INT)"""))
+def tight_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.candidates(spark, sf_dir).select(*S.KEY, candidates.tight_crop().alias("c")).where("c is not null").select(*S.KEY, "c.*")
+
+
+@query(S.sql("candidates", f""", a AS (SELECT {KEYS}, greatest(0, CAST(trunc((x0 + 5 * 0.5::DOUBLE) * 3.4::DOUBLE) AS INT)) AS cx0, greatest(0, CAST(trunc((y0 + 12 * -0.25::DOUBLE) * 3.4::DOUBLE) AS INT)) AS cy0,
+  least(340, CAST(trunc((x0 + 5 * 4.0::DOUBLE) * 3.4::DOUBLE) AS INT)) AS cx1, least(340, CAST(trunc((y0 + 12 * 1.25::DOUBLE) * 3.4::DOUBLE) AS INT)) AS cy1 FROM candidates)
+SELECT * FROM a WHERE cx1 - cx0 >= 40 AND cy1 - cy0 >= 30"""))
+def anchor_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = [F.lit(v) for v in (0.5, 4.0, -0.25, 1.25)]
+    crop = candidates.anchored_crop(F.col("x0"), F.col("y0"), F.lit(5), F.lit(12), shares, F.lit(340), F.lit(340))
+    return S.candidates(spark, sf_dir).select(*S.KEY, crop.alias("c")).where("c is not null").select(*S.KEY, "c.*")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size AS width, p_size + 7 AS height FROM part), z(zoom) AS (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE))
+SELECT p_partkey, zoom, CAST(round_even(width * zoom, 0) + 48 AS INT) AS zw, CAST(round_even(height * zoom, 0) + 48 AS INT) AS zh, zoom >= 1 AS smooth FROM p, z""")
+def zoom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "part").select("p_partkey", F.inline(candidates.zoomed(F.col("p_size"), F.col("p_size") + 7)))
+
+
+@query(S.sql("candidates", "SELECT l_orderkey, coalesce(bool_or(x0 <= 0.45::DOUBLE * w AND y0 BETWEEN 0.02::DOUBLE * h AND 0.30::DOUBLE * h AND regexp_replace(t, '[^0-9]', '', 'g') <> ''), FALSE) AS written FROM (SELECT *, CASE WHEN l_partkey % 4 = 0 THEN 'none' ELSE digits END AS t FROM candidates) GROUP BY l_orderkey"))
+def blank_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = S.candidates(spark, sf_dir).withColumn("text", F.when(F.col("l_partkey") % 4 == 0, "none").otherwise(F.col("digits")))
+    return candidates.column_has_digits(items, ["l_orderkey"])
+
+
+# Corrections, discards and pools
+
+_DISK = "disk AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'gas_cylinder' WHEN '2-HIGH' THEN 'da_gas' ELSE 'liquid_nitrogen' END AS type, CAST(o_custkey AS VARCHAR) AS stem, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)"
+_FIXES = """fixes AS (SELECT o_orderkey, o_orderkey || '.pdf' AS source_file, CASE o_orderpriority WHEN '1-URGENT' THEN 'gas_cylinder' WHEN '2-HIGH' THEN 'da_gas' WHEN '3-MEDIUM' THEN 'unknown' ELSE 'liquid_nitrogen' END AS type,
+  CASE o_orderkey % 7 WHEN 0 THEN 'x' || o_custkey WHEN 1 THEN ' ' || o_custkey || ' ' ELSE CAST(o_custkey AS VARCHAR) END AS number FROM orders WHERE o_orderstatus <> 'F')"""
+
+
+def _correction_log(note: str) -> str:
+    return f"""WITH {_DISK}, {_FIXES},
+valid AS (SELECT *, trim(number) AS stem, CASE type {_FOLDERS} END AS folder FROM fixes WHERE regexp_full_match(trim(number), '[0-9]+') AND type <> 'unknown'),
+placed AS (SELECT v.*, row_number() OVER (PARTITION BY v.folder, v.stem ORDER BY o_orderkey) + coalesce(d.n, 0) AS place FROM valid v LEFT JOIN disk d ON d.type = v.type AND d.stem = v.stem)
+SELECT source_file, CAST(NULL AS INT) AS page, '{note}' AS status, type, 'scanned/' || folder || '/' || stem || CASE WHEN place > 1 THEN '_' || place ELSE '' END || '.pdf' AS destination, o_orderkey FROM placed"""
+
+
+def _corrections(spark: SparkSession, sf_dir: str, note: str) -> DataFrame:
+    o = S.table(spark, sf_dir, "orders")
+    disk = o.where("o_orderstatus = 'F'").selectExpr("case o_orderpriority when '1-URGENT' then 'gas_cylinder' when '2-HIGH' then 'da_gas' else 'liquid_nitrogen' end as type", "cast(o_custkey as string) as stem")
+    disk = ledger.in_folders(disk).groupBy("folder", "stem").agg(F.count("*").alias("n"))
+    kind = "case o_orderpriority when '1-URGENT' then 'gas_cylinder' when '2-HIGH' then 'da_gas' when '3-MEDIUM' then 'unknown' else 'liquid_nitrogen' end as type"
+    number = "case o_orderkey % 7 when 0 then concat('x', o_custkey) when 1 then concat(' ', o_custkey, ' ') else cast(o_custkey as string) end as number"
+    fixes = o.where("o_orderstatus <> 'F'").selectExpr("o_orderkey", "concat(o_orderkey, '.pdf') as source_file", kind, number, "'.pdf' as ext")
+    return ledger.correction_log(fixes, disk, ["o_orderkey"], note)
+
+
+@query(_correction_log("corrected"))
+def correction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrections(spark, sf_dir, "corrected")
+
+
+@query(_correction_log("restored"))
+def restore_discarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrections(spark, sf_dir, "restored")
+
+
+@query("""WITH moved AS (SELECT o_orderkey, o_custkey || '.pdf' AS filename FROM orders WHERE o_orderstatus = 'P'), disk AS (SELECT o_custkey AS stem, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+placed AS (SELECT m.*, replace(filename, '.pdf', '') AS s, row_number() OVER (PARTITION BY filename ORDER BY o_orderkey) + coalesce(n, 0) AS place FROM moved m LEFT JOIN disk d ON m.filename = d.stem || '.pdf')
+SELECT filename AS source_file, CAST(NULL AS INT) AS page, 'manual' AS matched_type, 'discarded/' || s || CASE WHEN place > 1 THEN '_' || place ELSE '' END || '.pdf' AS destination, o_orderkey FROM placed""")
+def discard_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = S.table(spark, sf_dir, "orders")
+    disk = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").cast("string").alias("stem")).agg(F.count("*").alias("n")).withColumn("folder", F.lit("discarded"))
+    return ledger.discard_log(o.where("o_orderstatus = 'P'").selectExpr("o_orderkey", "concat(o_custkey, '.pdf') as filename"), disk, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_orderpriority AS suggestion FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def suggestions_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = S.table(spark, sf_dir, "orders")
+    return ledger.without(o.select("o_orderkey", F.col("o_orderpriority").alias("suggestion")), o.where("o_orderstatus = 'P'"), ["o_orderkey"])
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'out/scanned/' || o_orderpriority || '/' || o_custkey || '.pdf' WHEN 'O' THEN 'out/review/' || o_custkey || '.PDF' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'out/discarded/' || o_custkey || '.pdf' ELSE 'out/discarded/' || o_custkey || '.csv' END END AS path FROM orders)
+SELECT path, CASE WHEN path LIKE 'out/scanned/%' THEN 'scanned' WHEN path LIKE 'out/review/%' THEN 'review' ELSE 'discarded' END AS pool, CASE WHEN path LIKE 'out/scanned/%' THEN string_split(path, '/')[3] END AS book, string_split(path, '/')[-1] AS filename
+FROM p WHERE lower(path) LIKE '%.pdf'""")
+def pool_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = "case o_orderstatus when 'F' then concat('out/scanned/', o_orderpriority, '/', o_custkey, '.pdf') when 'O' then concat('out/review/', o_custkey, '.PDF') else if(o_orderkey % 2 = 0, concat('out/discarded/', o_custkey, '.pdf'), concat('out/discarded/', o_custkey, '.csv')) end as path"
+    return files.pools(S.table(spark, sf_dir, "orders").selectExpr(path))
+
+
+@query("WITH f AS (SELECT o_custkey, count(*) AS pages FROM orders GROUP BY 1) SELECT o_custkey, pages, (SELECT CAST(sum(pages) AS BIGINT) FROM f) AS total FROM f")
+def input_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.with_total(S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("pages")), "o_custkey", "pages")
+
+
+@query("SELECT count(*) AS n FROM events")
+def log_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.row_count(S.table(spark, sf_dir, "events"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS files FROM orders")
+def work_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.file_count(S.table(spark, sf_dir, "orders"), ["o_custkey"])
+
+
+@query("""WITH f AS (SELECT o_custkey, CAST(count(*) AS INT) AS pages FROM orders GROUP BY 1)
+SELECT o_custkey, CAST("first" AS INT) AS "first", CAST(least("first" + 3, pages - 1) AS INT) AS "last" FROM (SELECT *, unnest(range(0, pages, 4)) AS "first" FROM f)""")
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_file = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("pages"))
+    return routing.page_ranges(per_file, 4).select("o_custkey", "first", "last")
+
+
+@query("SELECT DISTINCT o_custkey, o_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS done FROM orders")
+def done_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = S.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("o_custkey"))
+    return routing.done_check(S.table(spark, sf_dir, "orders").select("o_custkey").distinct(), marks, ["o_custkey"])
+
+
+@query(f"""WITH t AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE {list(S.TYPES)}[o_orderkey % 5 + 1] END AS type FROM orders)
+SELECT CASE type {_FOLDERS} END AS folder, count(*) AS n FROM t GROUP BY 1""")
+def book_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, S.TYPES)), (F.col("o_orderkey") % 5 + 1).cast("int")))
+    return ledger.in_folders(S.table(spark, sf_dir, "orders").select(kind.alias("type"))).groupBy("folder").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1) SELECT o_custkey, CAST(floor(done * CAST(100 AS DOUBLE) / total + CAST(0.5 AS DOUBLE)) AS BIGINT) AS percent FROM b""")
+def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return by.select("o_custkey", analytics.percent(F.col("done"), F.col("total")).alias("percent"))
+
+
+@query("WITH t AS (SELECT event_type, epoch_us(ts) / 1000000 AS s FROM events) SELECT event_type, count(*) AS pages, max(s) - min(s) AS elapsed, round((max(s) - min(s)) / count(*), 6) AS per_page FROM t GROUP BY 1")
+def page_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.per_page(S.table(spark, sf_dir, "events"), ["event_type"], F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+
+
+# Training tables
+
+@query(S.sql("candidates", f""", log AS (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) AS number FROM lineitem WHERE l_linestatus = 'F')
+SELECT log.l_orderkey, log.number, l_linenumber, l_partkey, l_suppkey FROM log JOIN candidates c ON c.l_orderkey = log.l_orderkey AND c.digits = log.number
+QUALIFY row_number() OVER (PARTITION BY log.l_orderkey, log.number ORDER BY l_linenumber, l_partkey, l_suppkey) = 1"""))
+def truth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = S.table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select("l_orderkey", F.col("l_partkey").cast("string").alias("number")).distinct()
+    return analytics.truth_join(log, S.candidates(spark, sf_dir), ["l_orderkey"], S.TIE)
+
+
+_READ = "CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN CAST(l_partkey + 1 AS VARCHAR) ELSE CAST(l_partkey AS VARCHAR) END"
+
+
+@query(f"WITH r AS (SELECT CAST(l_partkey AS VARCHAR) AS t, {_READ} AS p FROM lineitem) SELECT count(*) FILTER (WHERE t = p) AS correct, count(*) AS total, round(CAST(count(*) FILTER (WHERE t = p) AS DOUBLE) / count(*), 6) AS accuracy FROM r")
+def crop_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.read_accuracy(S.table(spark, sf_dir, "lineitem"), F.col("l_partkey").cast("string"), F.expr(_READ.replace("VARCHAR", "STRING")))
+
+
+@query(f"SELECT {KEYS}, p AS prediction FROM (SELECT *, {_READ} AS p FROM lineitem) WHERE p IS DISTINCT FROM CAST(l_partkey AS VARCHAR)")
+def wrong_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = S.table(spark, sf_dir, "lineitem").select(*S.KEY, F.expr(_READ.replace("VARCHAR", "STRING")).alias("prediction"))
+    return analytics.wrong_reads(read, F.col("l_partkey").cast("string"), F.col("prediction"))
+
+
+_GLYPHS = """strokes AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS number, l_suppkey AS x, l_discount * 10 AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+cut AS (SELECT o_orderkey, number, list_sort(list(x)) AS xs FROM strokes WHERE share >= CAST(0.3 AS DOUBLE) GROUP BY ALL),
+seen AS (SELECT o_orderkey, unnest(range(1, len(xs) + 1)) AS i, xs, number FROM cut WHERE len(xs) = length(number)),
+glyphs AS (SELECT o_orderkey, substr(number, CAST(i AS INT), 1) AS digit, xs[i] AS x FROM seen)"""
+
+
+def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, l = S.table(spark, sf_dir, "orders"), S.table(spark, sf_dir, "lineitem")
+    strokes = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", F.col("o_custkey").cast("string").alias("number"), F.col("l_suppkey").alias("x"), (F.col("l_discount") * 10).alias("share"))
+    return analytics.glyphs(strokes, ["o_orderkey"], "number")
+
+
+@query(f"WITH {_GLYPHS} SELECT * FROM glyphs")
+def glyph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _glyphs(spark, sf_dir)
+
+
+@query(f"WITH {_GLYPHS} SELECT digit, count(*) AS n FROM glyphs GROUP BY 1")
+def glyph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _glyphs(spark, sf_dir).groupBy("digit").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey * 7919 % 1000003, o_orderkey) - 1) // 64 AS batch FROM orders")
+def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.training_batches(S.table(spark, sf_dir, "orders").select("o_orderkey"), F.struct(F.col("o_orderkey") * 7919 % 1000003, "o_orderkey"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_transform(string_split(CAST(o_custkey AS VARCHAR), ''), lambda d: CAST(d AS INT) + 1), ',') AS frames FROM orders")
+def label_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(scoring.encode_label(F.col("o_custkey").cast("string")).cast("array<string>"), ",").alias("frames"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best FROM embeddings")
+def frame_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "embeddings").select("vec_id", scoring.arg_max(F.col("embedding")).alias("best"))
+
+
+# Times, turns, previews, answers
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def log_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "events").select("event_id", text.log_time(F.col("ts")).alias("at"))
+
+
+@query("SELECT o_orderkey, (((o_orderkey % 4 * 90) + CASE o_orderkey % 3 WHEN 0 THEN -90 WHEN 1 THEN 270 ELSE 180 END) % 360 + 360) % 360 AS rotation FROM orders")
+def turned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.expr("case o_orderkey % 3 when 0 then -90 when 1 then 270 else 180 end")
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", text.turned(F.col("o_orderkey") % 4 * 90, by).alias("rotation"))
+
+
+@query("SELECT page_id, 'data:image/jpeg;base64,' || base64(encode(coalesce(html, ''))) AS uri FROM pages")
+def preview_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "pages").select("page_id", sinks.preview(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("uri"))
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN 'none' ELSE {list(S.TYPES)}[o_orderkey % 6 + 1] END AS type, CASE o_orderkey % 4 WHEN 0 THEN '12a' WHEN 1 THEN '1234567' WHEN 2 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS number FROM orders)
+SELECT o_orderkey, type <> 'none' AND coalesce(regexp_full_match(number, '[0-9]{{1,6}}'), FALSE) AS valid FROM a""")
+def valid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderkey") % 6 == 5, "none").otherwise(F.try_element_at(F.array(*map(F.lit, S.TYPES)), (F.col("o_orderkey") % 6 + 1).cast("int")))
+    number = F.expr("case o_orderkey % 4 when 0 then '12a' when 1 then '1234567' when 2 then null else cast(o_custkey as string) end")
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", text.valid_answer(kind, number, list(S.TYPES)).alias("valid"))
+
+
+@query("""WITH b AS (SELECT vec_id, list_transform(range(0, 4), lambda i: embedding[2 * i + 1]) AS xs, list_transform(range(0, 4), lambda i: embedding[2 * i + 2]) AS ys FROM embeddings)
+SELECT vec_id, CAST(list_min(xs) AS DOUBLE) AS x0, CAST(list_min(ys) AS DOUBLE) AS y0, CAST(list_max(xs) AS DOUBLE) AS x1, CAST(list_max(ys) AS DOUBLE) AS y1 FROM b""")
+def box_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding").cast("array<double>")
+    box = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(e[i * 2].alias("x"), e[i * 2 + 1].alias("y")))
+    return S.table(spark, sf_dir, "embeddings").select("vec_id", candidates.bounds(box).alias("b")).select("vec_id", "b.*")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '{\"number\":\"' || event_id || '\",\"type\":\"' || event_type || '\"}' AS suggestion FROM events")
+def suggestion_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.to_json(F.struct(F.col("event_id").cast("string").alias("number"), F.col("event_type").alias("type")))
+    return S.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string", {"mode": "PERMISSIVE"})["k"].alias("k"), told.alias("suggestion"))

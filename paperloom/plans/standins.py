@@ -34,20 +34,19 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three zooms read each order line: columns KEY, zoom_idx, text (null for some), nominated, prediction."""
+    """Three zooms read each order line: columns KEY, zoom_idx, text (null for some), q (what the second reader goes by)."""
     q = F.col("l_quantity").cast("long")
     lines = table(spark, sf_dir, "lineitem").select(*KEY, q.alias("q"), F.posexplode(F.array(*map(F.lit, ZOOMS))).alias("zoom_idx", "zoom"))
     text = F.when((F.col("l_partkey") + F.col("zoom")) % 11 != 0, F.expr("q * zoom div 100").cast("string"))
-    return lines.select(*KEY, "zoom_idx", text.alias("text"))
+    return lines.select(*KEY, "zoom_idx", text.alias("text"), "q")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of each line after votes: KEY, text, votes, variants, nominated, prediction. Equal keys are one crop."""
     from paperloom.operators.consensus import vote
 
-    voted = vote(reads(spark, sf_dir), KEY)
-    q = table(spark, sf_dir, "lineitem").groupBy(*KEY).agg(F.max("l_quantity").cast("long").alias("q"))
-    return voted.join(q, list(KEY)).select(*KEY, "text", "votes", "variants", F.expr("cast(q * 10 div 100 as string)").alias("nominated"), F.expr("cast(q * 8 div 100 as string)").alias("prediction"))
+    voted = vote(reads(spark, sf_dir), KEY, deal=["l_orderkey"], carry=["q"])
+    return voted.select(*KEY, "text", "votes", "variants", F.expr("cast(q * 10 div 100 as string)").alias("nominated"), F.expr("cast(q * 8 div 100 as string)").alias("prediction"))
 
 
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,32 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="file string, label string")
 
 
+def row_count(log: DataFrame) -> DataFrame:
+    """One row: n, the rows of a log."""
+    return log.agg(F.count("*").alias("n"))
+
+
+def placed(path: Column) -> Column:
+    """Struct pool, book, filename of a page's path below the output folder: scanned/<book>/<file>, review/<file> or discarded/<file>; pool null elsewhere."""
+    parts = F.split(path, "/", -1)
+    up = lambda n: F.try_element_at(parts, F.lit(-n))
+    flat = up(2).isin("review", "discarded")
+    kind = F.when(flat, up(2)).when(up(3) == "scanned", F.lit("scanned"))
+    return F.struct(kind.alias("pool"), F.when(~F.coalesce(flat, F.lit(False)) & (up(3) == "scanned"), up(2)).alias("book"), up(1).alias("filename"))
+
+
+def pools(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Columns path, pool, book, filename of the PDF pages in the pools; other files are left out."""
+    named = paths.select(path, placed(F.col(path)).alias("__p")).select(path, "__p.*")
+    return named.where(F.col("pool").isNotNull() & F.lower("filename").endswith(".pdf"))
+
+
+def with_total(files: DataFrame, path: str, pages: str) -> DataFrame:
+    """Columns path, pages, total: files with their page counts, and the sum of all; one row is broadcast."""
+    total = files.agg(F.coalesce(F.sum(pages), F.lit(0)).alias("total"))
+    return files.select(path, pages).crossJoin(F.broadcast(total))
+
+
 def pool(spark: SparkSession, folder: str) -> DataFrame:
     """Columns book, filename of a pool of filed pages, a folder for each book."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")

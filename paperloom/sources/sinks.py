@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,12 @@ def append_csv(rows: DataFrame, path: str) -> None:
 
 
 def append_table(rows: DataFrame, path: str, dry_run: bool = False) -> int:
-    """Append rows as parquet, or only count them in a dry run; how many there are."""
-    if not dry_run:
-        rows.write.mode("append").parquet(path)
-    return rows.count()
+    """Append rows as parquet, or only count them in a dry run; how many there are. The plan runs once: rows are counted as they are written."""
+    if dry_run:
+        return rows.count()
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -6,21 +6,15 @@ archived behind it. Triggers run until what is there is read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one where it is unset, as in tests; it goes when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledger-")
-    folder = f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+from paperloom.sources.session import shared_folder
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000, archive: str | None = None) -> DataFrame:
@@ -60,19 +54,69 @@ def resumed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/log")
 
 
+def append_in_order(stream: DataFrame, order: Sequence[str], target: str, checkpoint: str, trigger: dict | None = None):  # noqa: ANN201
+    """Append each micro-batch to target as parquet with a column batch, its rows sorted; ordered_log reads all in the order in which they were taken in.
+
+    A batch that is tried again replaces its own folder. Gives the running query.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.sort(*order).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ordered_log(spark: SparkSession, target: str, order: Sequence[str]) -> DataFrame:
+    """The rows of append_in_order: batches as they came, rows in order within each."""
+    return spark.read.parquet(target).orderBy("batch", *order)
+
+
+def run_until(query, enough: Callable[[int], bool], pause: float = 0.2) -> int:  # noqa: ANN001
+    """Stop a running query between micro-batches as soon as the rows read are enough, or let it end; how many were read.
+
+    A batch under way is given up and taken again from the checkpoint, whole.
+    """
+    while query.isActive and not query.awaitTermination(pause):
+        read = sum(p["numInputRows"] for p in query.recentProgress)
+        if enough(read):
+            query.stop()
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
 def each_once(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
     """Each key once within the watermark: a page is submitted one time only."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def submissions(events: DataFrame, key: str, kind: str, order: str) -> DataFrame:
+    """Columns key, order of the submissions that count, from a stream of rows (key, kind, order): a key that is in the queue is not taken again until it is dropped.
+
+    kind is 'submit' or, when a page is turned, moved or discarded, 'drop'. Rows of a batch are taken in order; state is one flag a key.
+    """
+
+    def fold(name: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        queued = bool(state.get[0]) if state.exists else False
+        taken = []
+        for k, o in pd.concat(list(parts)).sort_values(order)[[kind, order]].itertuples(index=False):
+            if k == "submit" and not queued:
+                taken.append(o)
+            queued = k == "submit"
+        state.update((queued,))
+        yield pd.DataFrame({key: [name[0]] * len(taken), order: taken})
+
+    rows = events.select(key, kind, order)
+    return rows.groupBy(key).applyInPandasWithState(fold, rows.select(key, order).schema, "queued boolean", "append", "NoTimeout")
+
+
 class Progress(StreamingQueryListener):
     """Rows read so far by query, for a progress display."""
 
     def __init__(self) -> None:
         self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
-        self.rows[str(event.id)] = 0
+        self.rows.setdefault(str(event.id), 0)  # a query that goes on from its checkpoint keeps its id
 
     def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
         p = event.progress
@@ -82,4 +126,8 @@ class Progress(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
-        pass
+        self.ended.add(str(event.id))
+
+    def percent(self, query_id: str, total: int) -> int:
+        """Rows read of so many, in percent."""
+        return round(100 * self.rows.get(query_id, 0) / total) if total else 0

@@ -44,8 +44,19 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_anomaly_kind_totals(spark, sf_dir):
+def test_anomaly_totals(spark, sf_dir):
     """Both kinds are counted, as anomaly_groups holds them."""
     groups = catalogue.QUERIES["anomaly_groups"](spark, sf_dir).toPandas()["kind"].value_counts().to_dict()
-    got = {r["kind"]: r["n_groups"] for r in catalogue.QUERIES["anomaly_kind_totals"](spark, sf_dir).collect()}
+    got = {r["kind"]: r["n_groups"] for r in catalogue.QUERIES["anomaly_totals"](spark, sf_dir).collect()}
     assert got == groups and set(got) == {"duplicate", "outlier"}
+
+
+def test_orders(spark, sf_dir, duck):
+    """Duplicates by count, label, number; outliers by label, number from the greatest; months by name: as they are returned."""
+    rows = lambda name: [tuple(r) for r in catalogue.QUERIES[name](spark, sf_dir).collect()]
+    dups, outs, months = rows("duplicate_groups"), rows("outlier_groups"), rows("month_pending_done")
+    assert dups == sorted(dups, key=lambda r: (-r[2], r[0], int(r[1]))) and len(dups) > 5
+    assert outs == sorted(outs, key=lambda r: (r[0], -r[1])) and len(outs) > 5
+    assert months == sorted(months) and len(months) > 5
+    work = rows("work_list")
+    assert work == sorted(work) == duck.sql(catalogue.ORACLE_SQL["work_list"]).fetchall()

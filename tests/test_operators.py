@@ -207,3 +207,70 @@ def test_corrections(spark):
     filed = spark.createDataFrame([(1, "a", "5"), (2, "a", "6"), (3, "b", "7"), (4, "b", "8")], "k int, book string, number string")
     fixes = spark.createDataFrame([(1, "a", "5"), (2, "b", "06"), (3, "b", "x")], "k int, book string, number string")
     assert sorted(map(tuple, ledger.corrected(filed, fixes, "k").collect())) == [(1, "a", "5", "unchanged"), (2, "b", "06", "corrected"), (3, "b", "7", "unchanged"), (4, "b", "8", "unchanged")]
+
+
+def test_repeats_without_numbers(spark):
+    """Unread pages never repeat and meet in no task of their own; one number may have most pages."""
+    rows = [("gas", None, i, 0) for i in range(50)] + [("gas", "12", i, 1) for i in range(40)] + [("da", "12", 3, 1), (None, "12", 4, 1), (None, "12", 2, 1), (None, None, 1, 1)]
+    df = spark.createDataFrame(rows, "type string, number string, path long, page int").repartition(5)
+    got = {(r["type"], r["number"], r["path"]): r["repeat"] for r in routing.repeats(df, ["path", "page"]).collect()}
+    assert len(got) == len(rows)
+    for k, v in got.items():
+        assert v == (k[1] is not None and any(o[0] == k[0] and o[1] == k[1] and o[2] < k[2] for o in got))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_numbered_across_tasks(spark, parts):
+    """One key may have most rows: its places go on from task to task."""
+    rows = [("a" if i % 5 else "b", i % 7, i) for i in range(300)] + [(None, 1, 1000), (None, 0, 1001)]
+    df = spark.createDataFrame(rows, "k string, o int, i int").repartition(4)
+    got = sorted(((r["k"] or "", r["n"]), (r["o"], r["i"])) for r in routing.numbered(df, ["k"], ["o", "i"], "n", parts).collect())
+    want = []
+    for k in ("", "a", "b"):
+        own = sorted((o, i) for x, o, i in rows if (x or "") == k)
+        want += [((k, n + 1), r) for n, r in enumerate(own)]
+    assert got == want
+    assert routing.numbered(df.limit(0), ["k"], ["o"], "n", parts).count() == 0
+
+
+def test_attempts_without_a_key_stay(spark):
+    rows = spark.createDataFrame([("a", 1, 0.0), (None, 2, 1.0), ("a", 3, 2.0), (None, 4, 3.0)], "k string, id long, t double")
+    got = {r["id"]: r["admitted"] for r in admission.admitted(rows, "k", cap=1).collect()}
+    assert got == {1: True, 2: None, 3: False, 4: None}
+
+
+def test_for_type(spark):
+    """Bands, both anchors in turn, and types without a rule, side by side."""
+    c = "page long, i int, type string, digits string, x0 double, y0 double, x1 double, y1 double, w double, h double"
+    rows = [
+        (1, 0, "gas_cylinder", "12", 60.0, 5.0, 70.0, 10.0, 100.0, 100.0), (1, 1, "gas_cylinder", "13", 10.0, 5.0, 70.0, 10.0, 100.0, 100.0),
+        (2, 0, "delivery_challan", "7", 60.0, 50.0, 65.0, 53.0, 100.0, 100.0), (2, 1, "delivery_challan", "8", 30.0, 60.0, 35.0, 63.0, 100.0, 100.0),
+        (3, 0, "delivery_challan", "9", 30.0, 60.0, 35.0, 63.0, 100.0, 100.0), (4, 0, "other", "5", 60.0, 5.0, 70.0, 10.0, 100.0, 100.0),
+    ]
+    labels = spark.createDataFrame([(2, "G/P#", 51.5, 20.0), (2, "DC#", 61.5, 20.0), (3, "DC#", 61.5, 20.0)], "page long, marker string, ly double, lx1 double")
+    got = candidates.for_type(spark.createDataFrame(rows, c), labels, ["page"], ["i"])
+    assert sorted((r["page"], r["digits"], r["place"]) for r in got.collect()) == [(1, "12", 1), (2, "7", 1), (3, "9", 1)]
+
+
+def test_zooms(spark):
+    got = spark.range(1).select(candidates.zoomed(F.lit(101), F.lit(40)).alias("z")).first()["z"]
+    assert [(r["zoom"], r["zw"], r["zh"], r["smooth"]) for r in got] == [(0.8, 81 + 48, 32 + 48, False), (1.0, 149, 88, True), (1.2, 121 + 48, 48 + 48, True)]
+
+
+def test_label_codes(spark):
+    """What is encoded and set between blanks is read back."""
+    for label in ("4420", "0", "998877"):
+        df = spark.createDataFrame([(label,)], "l string").select(scoring.encode_label(F.col("l")).alias("e"))
+        spaced = F.flatten(F.transform("e", lambda v: F.array(F.lit(0), v, v)))
+        assert df.select(scoring.collapse(spaced)).first()[0] == label
+
+
+def test_correction_rows(spark):
+    fixes = spark.createDataFrame([(1, "a.pdf", "gas_cylinder", " 12 ", ".pdf"), (2, "b.pdf", "gas_cylinder", "12", ".pdf"), (3, "c.pdf", "nothing", "12", ".pdf"), (4, "d.pdf", "da_gas", "1x", ".pdf"), (5, "e.pdf", None, "1", ".pdf"), (6, "f.pdf", "da_gas", None, ".pdf")], "at int, source_file string, type string, number string, ext string")
+    taken = spark.createDataFrame([("Gas Cylinder", "12", 1)], "folder string, stem string, n long")
+    got = [(r["source_file"], r["page"], r["status"], r["destination"]) for r in ledger.correction_log(fixes, taken, ["at"], "renamed").orderBy("at").collect()]
+    assert got == [("a.pdf", None, "renamed", "scanned/Gas Cylinder/12_2.pdf"), ("b.pdf", None, "renamed", "scanned/Gas Cylinder/12_3.pdf")]
+    moved = spark.createDataFrame([(1, "12.pdf"), (2, "12.pdf"), (3, "k")], "at int, filename string")
+    got = [(r["matched_type"], r["destination"]) for r in ledger.discard_log(moved, taken.limit(0), ["at"]).orderBy("at").collect()]
+    assert got == [("manual", "discarded/12.pdf"), ("manual", "discarded/12_2.pdf"), ("manual", "discarded/k")]
+    assert sorted(r[0] for r in ledger.without(moved, moved.where("at = 3"), ["filename"]).select("at").collect()) == [1, 2]
