@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,8 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives an empty array."""
-    flat = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1))
-    return F.array_remove(F.split(flat, " ", -1), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def slices(b: pa.RecordBatch, column: str, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -40,13 +40,19 @@ def slices(b: pa.RecordBatch, column: str, rows: int = 1000, size: int = 8 << 20
             i += n
 
 
+#: Temporary folders of local sessions, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session gets a temporary one, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_table, documents
-from .lines import NORMAL_SQL, line_hash, lines
+from .lines import NORMAL_SQL, line_hashes, lines
 
 #: Distinct sites that make a line boilerplate.
 MIN_SITES = 10
@@ -27,7 +27,7 @@ LG_K, NEAR = 12, 0.1
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Columns id, key, site, pos, h for each line with a word, written once: texts are split and hashed in one pass."""
-    at = F.posexplode(F.transform(lines(F.col(text_col)), line_hash)).alias("pos", "h")
+    at = F.posexplode(line_hashes(F.col(text_col))).alias("pos", "h")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), at)
     return as_table(rows.where("h is not null"), "lines")
 

@@ -13,18 +13,31 @@ from .common import BLANKS
 NORMAL_SQL = rf"trim(regexp_replace(translate(line, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
 
 
+#: Blanks within a line.
+_WITHIN = BLANKS.replace(" ", "").replace("\n", "")
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, split at each U+000A; null gives one empty line."""
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def normal(line: Column) -> Column:
-    """A line with A-Z in lower case and each run of blanks as one space, none at its ends; empty if it has no word."""
-    low = F.translate(line, string.ascii_uppercase + BLANKS[1:], string.ascii_lowercase + " " * (len(BLANKS) - 1))
-    return F.trim(F.regexp_replace(low, " {2,}", " "))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in normal form, as arrays of words: A-Z in lower case, without blanks. The whole text is lower-cased at once."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase + _WITHIN, string.ascii_lowercase + " " * len(_WITHIN))
+    return F.transform(F.split(low, "\n", -1), lambda x: F.array_remove(F.split(x, " ", -1), ""))
+
+
+def words_hash(words: Column) -> Column:
+    """64-bit hash of the words of a line in normal form."""
+    return F.xxhash64(F.array_join(words, " "))
 
 
 def line_hash(line: Column) -> Column:
     """64-bit hash of a line's normal form; null if it has no word."""
-    n = normal(line)
-    return F.when(n != "", F.xxhash64(n))
+    return F.transform(normal_lines(line), lambda w: F.when(F.size(w) > 0, words_hash(w)))[0]
+
+
+def line_hashes(text: Column) -> Column:
+    """The hash of each line of a text, in order; null for those without a word."""
+    return F.transform(normal_lines(text), lambda w: F.when(F.size(w) > 0, words_hash(w)))

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, as_table, documents, words
-from .lines import NORMAL_SQL, line_hash, lines
+from .common import as_table, documents, words
+from .lines import NORMAL_SQL, line_hash, lines, normal_lines, words_hash
 
 #: A line in more documents of one host than this is removed.
 MAX_DOCS = 20
@@ -27,7 +27,9 @@ MAX_DOCS = 20
 MIN_LEFT, MIN_SHARE = 25, 0.5
 #: Base rules.
 MIN_WORDS, MAX_REPEAT = 50, 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
+#: Low bits of a packed window that hold its position: as many as an array can need.
+POSITION_BITS = 31
 
 
 def window_hash(a: Column, b: Column, c: Column) -> Column:
@@ -42,27 +44,40 @@ def _covered(at: Column) -> Column:
 
 
 def signals(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines (struct h, n: hash and words of each line).
+    """Columns keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines (struct h, n: hash and words of each line with a word).
 
-    The three-word windows are sorted by hash, then by their words, so that
-    equal windows are neighbours whatever their hashes; words are compared.
+    Hashes of the three-word windows, cut to their high bits, are packed with
+    their positions and sorted: windows that share those bits are neighbours, and
+    all equal windows are among them. Only these are sorted by whole hash and
+    words, so that equal windows are neighbours whatever their hashes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.length(F.translate(text, BLANKS, ""))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     full = F.filter(lines(text), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select(*keep, bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), words(text).alias("__w"), full.alias("__full"))
-    of_line = lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n"))
+    symbols = F.regexp_count(text, F.lit(SYMBOLS))
+    first = docs.select(*keep, symbols.cast("long").alias("n_symbols"), words(text).alias("__w"), full.alias("__full"), normal_lines(text).alias("__n"))
     w = F.col("__w")
-    window = lambda i: F.struct(window_hash(w[i], w[i + 1], w[i + 2]).alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i"))
-    windows = F.when(F.size(w) > 2, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)))
-    second = first.select(*keep, "word_chars", "n_symbols", F.size("__w").cast("long").alias("n_words"), (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"), F.transform("__full", of_line).alias("__lines"), windows.alias("__s"))
-    s = F.col("__s")
-    same = lambda j: (s[j]["h"] == s[j - 1]["h"]) & (s[j]["a"] == s[j - 1]["a"]) & (s[j]["b"] == s[j - 1]["b"]) & (s[j]["c"] == s[j - 1]["c"])
-    third = second.withColumn("__j", F.when(F.size("__s") > 1, F.filter(F.sequence(F.lit(1), F.size("__s") - 1), same)))
-    at = F.sort_array(F.array_distinct(F.flatten(F.transform("__j", lambda j: F.array(s[j]["i"], s[j - 1]["i"])))))
+    chars = F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    hashes = F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: window_hash(w[i], w[i + 1], w[i + 2])))
+    second = first.select(
+        *keep, "n_symbols", chars.alias("word_chars"), F.size("__w").cast("long").alias("n_words"), (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
+        F.transform(F.filter("__n", lambda x: F.size(x) > 0), lambda x: F.struct(words_hash(x).alias("h"), F.size(x).alias("n"))).alias("__lines"), "__w", hashes.alias("__h"),
+    )
+    low = F.lit((1 << POSITION_BITS) - 1)
+    packed = F.sort_array(F.transform("__h", lambda x, i: x.bitwiseAND(F.lit(-1 << POSITION_BITS)).bitwiseOR(i.cast("long"))))
+    third = second.withColumn("__s", packed)
+    s, h = F.col("__s"), F.col("__h")
+    alike = lambda j, k: F.shiftright(s[j].bitwiseXOR(s[k]), POSITION_BITS) == 0
+    last = F.size(s) - 1
+    met = F.filter(F.sequence(F.lit(0), last), lambda j: ((j > 0) & alike(j, F.greatest(j - 1, F.lit(0)))) | ((j < last) & alike(j, F.least(j + 1, last))))
+    fourth = third.withColumn("__c", F.when(F.size(s) > 1, F.transform(met, lambda j: s[j].bitwiseAND(low).cast("int"))))
+    window = lambda i: F.struct(h[i].alias("h"), w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i"))
+    fifth = fourth.withColumn("__t", F.when(F.size("__c") > 0, F.sort_array(F.transform("__c", window))))
+    t = F.col("__t")
+    same = lambda j: (t[j]["h"] == t[j - 1]["h"]) & (t[j]["a"] == t[j - 1]["a"]) & (t[j]["b"] == t[j - 1]["b"]) & (t[j]["c"] == t[j - 1]["c"])
+    sixth = fifth.withColumn("__j", F.when(F.size(t) > 1, F.filter(F.sequence(F.lit(1), F.size(t) - 1), same)))
+    at = F.sort_array(F.array_distinct(F.flatten(F.transform("__j", lambda j: F.array(t[j]["i"], t[j - 1]["i"])))))
     repeat = F.when(F.size("__j") > 0, _covered(F.transform(at, lambda x: x.cast("long")))).otherwise(F.lit(0).cast("long"))
-    return third.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "__lines")
+    return sixth.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), "__lines")
 
 
 def common_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
