@@ -83,8 +83,10 @@ def as_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    drop_path(df.sparkSession, df._table_path)
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that as_table gave and nothing will read again."""
+    for df in tables:
+        drop_path(df.sparkSession, df._table_path)
 
 
 def within_sample(order: Column, total: int, wanted: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, drop_table
+from .common import as_table, drop_tables
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | Non
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select("v", "m").where("v <> m").union(low.select("u", "m")).toDF("a", "b").distinct()
         new = as_table(small, "edges", n)
-        drop_table(edges)
+        drop_tables(edges)
         edges = new
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, documents, within_sample
+from .common import as_table, documents, drop_tables, within_sample
 from .components import connected_components
 
 SEED = 42
@@ -276,7 +276,9 @@ def shards(distinct: DataFrame, total: int, radius: int) -> DataFrame:
                     sub, at, own = route(trees.value[shard], raw.view(np.uint64), radius, own)
                 yield pd.DataFrame({"shard": shard, "sub": sub, "fp": raw[at], "own": own})
 
-    return as_table(placed.mapInPandas(second, "shard long, sub long, fp long, own boolean"), "shards")
+    out = as_table(placed.mapInPandas(second, "shard long, sub long, fp long, own boolean"), "shards")
+    drop_tables(placed)
+    return out
 
 
 def units(placed: DataFrame) -> DataFrame:
@@ -309,7 +311,9 @@ def fingerprint_classes(fps: DataFrame, radius: int = 2, rows: int | None = None
     names = comps.groupBy("root").agg(F.min("first").alias("name"))
     named = comps.join(names, "root").select("comp", "name")
     best = members.join(named, "comp").groupBy("fp").agg(F.min("name").alias("name"))
-    return as_table(distinct.join(best, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id")), "classes", total)
+    classes = as_table(distinct.join(best, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id")), "classes", total)
+    drop_tables(distinct, members, comps)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,14 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, slices
+from .common import as_table, drop_tables, slices
 from .components import connected_components
 from .simhash import Groups, bits_of, fingerprint_classes, shingle_hashes
 
 BANDS, ROWS = 24, 6
 PAIRED, CENTRES, BLOCK = 32, 3, 512
-#: Narrow rows that a set of shingles counts for.
-WEIGHT = 50
+#: Narrow rows that a row of bands, and one of a set of shingles, counts for.
+WIDE, WEIGHT = 8, 50
 #: Shingles that a comparison of two blocks holds as columns at once.
 COLUMNS = 8192
 SEED = 29
@@ -191,10 +191,10 @@ def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float,
     """Columns id, fp, component_id: one row for each row of docs."""
     rows = as_table(signatures(docs, size, id_col, text_col), "signatures")
     n = rows.count()
-    near = fingerprint_classes(rows.select(F.col("node").alias("id"), "fp"), radius, n).withColumnRenamed("component_id", "class")
-    seen = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "said")).alias("row"), F.max("len").alias("len"), F.max("bands").alias("bands")).join(near, "fp")
-    seen = as_table(seen, "seen", n)
-    nodes = as_table(seen.groupBy("node").agg(F.min("class").alias("class"), F.min("row").alias("row"), F.max("len").alias("len"), F.max("bands").alias("bands")), "nodes", n)
+    near = fingerprint_classes(rows.select(F.col("node").alias("id"), "fp"), radius, n)
+    seen = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "said")).alias("row"), F.max("len").alias("len"), F.max("bands").alias("bands")).join(near.withColumnRenamed("component_id", "class"), "fp")
+    seen = as_table(seen, "seen", n * WIDE)
+    nodes = as_table(seen.groupBy("node").agg(F.min("class").alias("class"), F.min("row").alias("row"), F.max("len").alias("len"), F.max("bands").alias("bands")), "nodes", n * WIDE)
     same = seen.select("node", F.col("class").alias("b")).join(nodes.select("node", F.col("class").alias("a")), "node").where("a <> b").select("a", "b")
 
     met = bucketed(nodes, n)
@@ -213,11 +213,15 @@ def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float,
     tasks = as_table(block_pairs(large, many), "tasks", many * CENTRES)
     jobs = tasks.count()
     if jobs:
+        drop_tables(sets)
         sets = as_table(shingle_sets(docs, nodes.join(tasks.select("node").distinct(), "node", "left_semi"), size, id_col, text_col), "sets", n * WEIGHT)
         found = tasks.join(sets.select("node", "shingles"), "node").groupBy("job").applyInPandas(lambda p: linked_roots(p, similarity), "a long, b long")
         joined = connected_components(found, rows=jobs).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        named = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named", n)
+        again = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named", n)
+        drop_tables(named)
+        named = again
 
     least = rows.groupBy("node").agg(F.min("id").alias("first")).join(named, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     names = as_table(named.join(least, "root").select("node", "component_id"), "names", n)
+    drop_tables(near, seen, nodes, met, pairs, sets, tasks, named)
     return rows.select("id", "fp", "node").join(names, "node", "left").select("id", "fp", "component_id")
