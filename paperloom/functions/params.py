@@ -81,5 +81,8 @@ ANCHORS = (("delivery_challan", GATE_PASS), ("delivery_challan", CHALLAN))
 
 # Zooms at which a detected crop is read, and the margin around each.
 ZOOMS, MARGIN = (0.8, 1.0, 1.2), 24
+# Local contrast of crops, and the sizes that the page classifier and the digit reader take.
+CONTRAST, CONTRAST_TILES = 2.0, 8
+CLASS_SIDE, DIGIT_HEIGHT, DIGIT_WIDTH = 96, 32, 8
 # Fixed value: the least share of a crop's height that a digit's stroke has.
 GLYPH_HEIGHT = 0.3

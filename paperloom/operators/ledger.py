@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.params import FOLDERS
-from paperloom.functions.text import all_digits, extension, strip
+from paperloom.functions.text import all_digits, extension, strip, turned
 from paperloom.operators.routing import unique_names
 
 
@@ -73,6 +73,18 @@ def discard_log(pages: DataFrame, existing: DataFrame, order: Sequence[str], not
     return named.select(F.col("filename").alias("source_file"), F.lit(None).cast("int").alias("page"), F.lit(note).alias("matched_type"), F.concat(F.lit("discarded/"), "name").alias("destination"), *order)
 
 
+def turned_pages(pages: DataFrame, turns: DataFrame, key: Sequence[str]) -> DataFrame:
+    """pages (key, rotation) with the turns (key, degrees) of a reviewer applied, and outcome: only multiples of 90 turn a page, which stays one page; a key turns once a call."""
+    asked = turns.groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(F.max("degrees").alias("__by"))
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    both = pages.join(asked, same, "left")
+    valid = F.coalesce(F.col("__by") % 90 == 0, F.lit(False))
+    outcome = F.when(F.col("__by").isNull(), "unchanged").when(valid, "turned").otherwise("refused")
+    return both.select(*key, F.when(valid, turned(F.col("rotation"), F.col("__by"))).otherwise(F.col("rotation")).cast("long").alias("rotation"), outcome.alias("outcome"))
+
+
 def without(pages: DataFrame, moved: DataFrame, key: Sequence[str]) -> DataFrame:
     """The pages, or suggestions, that are left when those of moved are gone: a page that leaves a pool leaves its list and its suggestion."""
     return pages.join(moved.select(*key).distinct(), list(key), "left_anti")

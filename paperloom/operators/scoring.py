@@ -40,14 +40,14 @@ def logits(x: Column, coef: Sequence[Sequence[float]], intercept: Sequence[float
 
 
 def softmax_best(values: Column, classes: Sequence[str]) -> Column:
-    """Struct label, conf: the first of the best classes and its probability."""
+    """Struct label, conf: the first of the best classes and its probability; null for null."""
 
     def best(s: Column) -> Column:
         total = _total(F.transform(s["v"], lambda v: F.exp(v - s["most"])))
         label = F.element_at(F.lit(list(classes)), F.array_position(s["v"], s["most"]).cast("int"))
         return F.struct(label.alias("label"), (1 / total).alias("conf"))
 
-    return _let(values, lambda a: _let(F.struct(a.alias("v"), F.array_max(a).alias("most")), best))
+    return F.when(values.isNotNull(), _let(values, lambda a: _let(F.struct(a.alias("v"), F.array_max(a).alias("most")), best)))
 
 
 def rescued(scores: DataFrame, page: Sequence[str], least: float = RESCUE_CONFIDENCE) -> DataFrame:

@@ -759,6 +759,14 @@ def turned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "orders").select("o_orderkey", text.turned(F.col("o_orderkey") % 4 * 90, by).alias("rotation"))
 
 
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 4 * 90 AS rotation, CASE WHEN o_orderstatus = 'P' THEN CASE o_orderkey % 3 WHEN 0 THEN -90 WHEN 1 THEN 450 ELSE 45 END END AS by_degrees FROM orders)
+SELECT o_orderkey, CASE WHEN by_degrees % 90 = 0 THEN ((rotation + by_degrees) % 360 + 360) % 360 ELSE rotation END AS rotation, CASE WHEN by_degrees IS NULL THEN 'unchanged' WHEN by_degrees % 90 = 0 THEN 'turned' ELSE 'refused' END AS outcome FROM t""")
+def rotate_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = S.table(spark, sf_dir, "orders")
+    turns = o.where("o_orderstatus = 'P'").selectExpr("o_orderkey", "case o_orderkey % 3 when 0 then -90 when 1 then 450 else 45 end as degrees")
+    return ledger.turned_pages(o.selectExpr("o_orderkey", "o_orderkey % 4 * 90 as rotation"), turns, ["o_orderkey"])
+
+
 @query("SELECT page_id, 'data:image/jpeg;base64,' || base64(encode(coalesce(html, ''))) AS uri FROM pages")
 def preview_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "pages").select("page_id", sinks.preview(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("uri"))
