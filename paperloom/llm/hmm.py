@@ -7,8 +7,8 @@ emission: every partition returns its expected counts, and their sum makes the
 next model. Scores are exact likelihoods of the class sequence by the scaled
 forward recursion, times the shares of the words.
 
-Words of at least one in KNOWN training tokens, KNOWN at most, go to every task
-with their counts; counts of rarer words are joined. A recursion over a long
+The commonest words, KNOWN at most, go to every task with their counts; counts
+of rarer words are joined. A recursion over a long
 text runs over blocks of BLOCK tokens at once, whose transfer matrices are then
 chained. Texts are taken in batches of TOKENS tokens, and blocks in parts, so
 that a long text needs little more memory than its tokens.
@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,21 +103,22 @@ class Blocks:
 def transfer(m: Model, b: Blocks) -> tuple[np.ndarray, np.ndarray]:
     """Matrix of each block, from predicted states before it to those after it, scaled, and the log of its scale."""
     k, n = len(m.start), len(b.seq)
-    emit = np.ascontiguousarray(m.emit.T)
+    step = np.ascontiguousarray(m.move.T)
     mats, logs = np.empty((n, k, k)), np.zeros(n)
     for part, x, active in b.parts():
-        p, log = np.broadcast_to(np.eye(k), (x.shape[1], k, k)).copy(), np.zeros(x.shape[1])
+        p, log = np.zeros((k, k, x.shape[1])), np.zeros(x.shape[1])  # p[before, after, block]
+        p[np.arange(k), np.arange(k)] = 1
         for t in range(BLOCK):
             a = active[t]
             if not a:
                 break
-            p[:a] = ((p[:a] * emit[x[t, :a]][:, None, :]).reshape(-1, k) @ m.move).reshape(-1, k, k)
+            p[:, :, :a] = np.matmul(step, p[:, :, :a] * np.take(m.emit, x[t, :a], axis=1)[None])
             if t % 8 == 7 or t == BLOCK - 1:
-                s = p.sum((1, 2))
-                p /= s[:, None, None]
+                s = p.sum((0, 1))
+                p /= s
                 log += np.log(s)
-        s = p.sum((1, 2))
-        mats[part], logs[part] = p / s[:, None, None], log + np.log(s)
+        s = p.sum((0, 1))
+        mats[part], logs[part] = (p / s).transpose(2, 0, 1), log + np.log(s)
     return mats, logs
 
 
@@ -143,7 +145,6 @@ def expected_counts(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     """Expected starts, moves and emissions over all sequences, and their log likelihood, by forward and backward recursion."""
     b = Blocks(seqs)
     k, n, width = len(m.start), len(b.seq), m.emit.shape[1]
-    emit = np.ascontiguousarray(m.emit.T)
     mats, logs = transfer(m, b)
     before, like = chained(m, b, mats, logs)
     after, now = np.ones((n, k)), np.ones((b.n_seqs, k))
@@ -154,40 +155,42 @@ def expected_counts(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.nd
         now[seq] = v / v.sum(1, keepdims=True)
     last, lead = np.zeros((n, k)), np.zeros((n, k))  # states at each block's end, and what its first token and all later ones say of them
     start, move, out = np.zeros(k), np.zeros((k, k)), np.zeros((k, width))
+    step = np.ascontiguousarray(m.move.T)
     for part, x, active in b.parts():
-        alpha, p = np.zeros((BLOCK, x.shape[1], k)), before[part].copy()
+        emit, alpha = np.zeros((BLOCK, k, x.shape[1])), np.zeros((BLOCK, k, x.shape[1]))
+        p, f = before[part].T.copy(), np.zeros((k, x.shape[1]))
         for t in range(BLOCK):
             a = active[t]
             if not a:
                 break
-            f = p[:a] * emit[x[t, :a]]
-            f /= f.sum(1, keepdims=True)
-            alpha[t, :a] = f
-            last[part][:a] = f
-            p[:a] = f @ m.move
-        ahead = after[part].copy()  # weight of each predicted state after a token
+            e = emit[t, :, :a] = np.take(m.emit, x[t, :a], axis=1)
+            now = p[:, :a] * e
+            now /= now.sum(0)
+            alpha[t, :, :a] = f[:, :a] = now
+            p[:, :a] = step @ now
+        last[part] = f.T
+        ahead = after[part].T.copy()  # weight of each predicted state after a token
         xs, gs = [], []
         for t in reversed(range(BLOCK)):
             a = active[t]
             if not a:
                 continue
-            beta = ahead[:a] @ m.move.T
-            g = alpha[t, :a] * beta
-            g /= g.sum(1, keepdims=True)
+            beta = m.move @ ahead[:, :a]
+            g = alpha[t, :, :a] * beta
+            g /= g.sum(0)
             xs.append(x[t, :a])
             gs.append(g)
-            weight = emit[x[t, :a]] * beta
-            weight /= weight.sum(1, keepdims=True)
+            weight = emit[t, :, :a] * beta
+            weight /= weight.sum(0)
             if t:
-                prev = alpha[t - 1, :a]
-                z = ((prev @ m.move) * weight).sum(1, keepdims=True)
-                move += m.move * (prev.T @ (weight / z))
+                prev = alpha[t - 1, :, :a]
+                move += m.move * (prev @ (weight / ((step @ prev) * weight).sum(0)).T)
             else:
-                start += g[b.step[part] == 0].sum(0)
-                lead[part] = weight
-            ahead[:a] = weight
-        every, weights = np.concatenate(xs), np.concatenate(gs)
-        out += np.stack([np.bincount(every, weights=weights[:, i], minlength=width) for i in range(k)])
+                start += g[:, b.step[part] == 0].sum(1)
+                lead[part] = weight.T
+            ahead[:, :a] = weight
+        every, weights = np.concatenate(xs), np.concatenate(gs, 1)
+        out += np.stack([np.bincount(every, weights=weights[i], minlength=width) for i in range(k)])
     later = np.flatnonzero(b.step > 0)
     prev = last[b.previous[later]]
     z = ((prev @ m.move) * lead[later]).sum(1, keepdims=True)
@@ -235,6 +238,18 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def known_from(counts: DataFrame) -> int:
+    """The least count of the words that go to every task: as many of the commonest as KNOWN allows, told from a histogram of counts by sixteenths of an octave."""
+    places = counts.groupBy(F.floor(F.log2("c") * 16).alias("place")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("place")).collect()
+    least, total = 1 << 62, 0
+    for r in places:
+        total += r["n"]
+        if total > KNOWN:
+            break
+        least = r["least"]
+    return least
+
+
 def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
@@ -243,7 +258,8 @@ def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     own_of = (F.col("c") * OWN >= n) | (F.length("w") == 0)
-    known = {r["w"]: r["c"] for r in counts.where((F.col("c") * KNOWN >= n) | own_of).select("w", "c").collect()}
+    least = known_from(counts)
+    known = {r["w"]: r["c"] for r in counts.where((F.col("c") >= least) | own_of).select("w", "c").collect()}
     known = {bytes(w): c for w, c in sorted(known.items())}
     names = [w for w, c in known.items() if c * OWN >= n or not w]
     names = names if b"" in names else [b"", *names]
@@ -265,10 +281,13 @@ def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds:
         index, of_class, log_count, share, end = tables.value
         lone = math.log10(ADD)
         for b in _slices(stream, "text", TEXT):
-            out: dict[str, list] = {f.name: [] for f in fields}
+            out: dict[str, list] = {f.name: [] for f in fields if f.name != "rare"}
+            rare_words: list[bytes] = []
+            rare_counts: list[int] = []
+            ends = [0]
             for rid, ident, held, text in zip(*(b.column(c).to_pylist() for c in ("rid", "id", "held_out", "text")), strict=True):
                 words = tokens(text)
-                at = np.array([index.get(w, -1) for w in words], dtype=np.int64)
+                at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
                 here = at >= 0
                 seq = np.empty(len(words), dtype=np.int64)
                 seq[here] = of_class[at[here]]
@@ -279,10 +298,15 @@ def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds:
                 ending = seq[seq < SUFFIXES]
                 apart = here & (seq >= SUFFIXES)
                 inner = base - log_count[at[apart]].sum() - share[ending].sum() - lone * (end == seq[missing]).sum()
-                rare = Counter(w for w in others if w)
-                for name, value in zip(out, (rid, ident, held, len(words), int(here.sum()), float(base), float(inner), seq.astype("<u2").tobytes(), [{"w": w, "n": c} for w, c in rare.items()]), strict=True):
+                rare = Counter(others)
+                rare.pop(b"", None)
+                rare_words += rare
+                rare_counts += rare.values()
+                ends.append(len(rare_words))
+                for name, value in zip(out, (rid, ident, held, len(words), int(here.sum()), float(base), float(inner), seq.astype("<u2").tobytes()), strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, fields)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["w", "n"]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(out[f.name], f.type) for f in fields if f.name != "rare"), listed], names=[f.name for f in fields])
 
     read_as = "rid long, id long, held_out boolean, n_tokens long, n_local long, base double, inner double, seq binary, rare array<struct<w: binary, n: long>>"
     table = as_table(rows.withColumn("id", F.col("id").cast("long")).withColumn("rid", F.monotonically_increasing_id()).mapInArrow(read, read_as), "sequences")
@@ -296,7 +320,7 @@ def score_texts(docs: DataFrame, folds: int = 10, states: int = STATES, rounds:
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(log_likelihoods(final.value, _unpacked(b)) / math.log(10))], names=["rid", "chain"])
 
     rare = table.select("rid", F.explode("rare").alias("r")).select("rid", "r.w", "r.n")
-    more = rare.join(counts.where(F.col("c") * KNOWN < n), "w")
+    more = rare.join(counts.where((F.col("c") < least) & ~own_of), "w")
     more = more.groupBy("rid").agg(F.sum(F.col("n") * (F.log10(F.col("c") + ADD) - math.log10(ADD))).alias("more"), F.sum("n").alias("n_more"))
     scored = table.drop("seq", "rare").join(table.select("rid", "seq").mapInArrow(like, "rid long, chain double"), "rid").join(more, "rid", "left")
     zero = F.lit(0)
