@@ -36,7 +36,7 @@ def logits(x: Column, coef: Sequence[Sequence[float]], intercept: Sequence[float
     def row(a: Column, weights: Sequence[float], bias: float) -> Column:
         return _total(F.zip_with(a, F.lit([float(w) for w in weights]), lambda v, w: v * w)) + F.lit(float(bias))
 
-    return _let(x, lambda a: F.array(*(row(a, w, b) for w, b in zip(coef, intercept, strict=True))))
+    return F.when(x.isNotNull(), _let(x, lambda a: F.array(*(row(a, w, b) for w, b in zip(coef, intercept, strict=True)))))
 
 
 def softmax_best(values: Column, classes: Sequence[str]) -> Column:
