@@ -12,7 +12,7 @@ from paperloom.functions.params import Anchor, Band
 from paperloom.operators import admission, analytics, candidates, classify, consensus, ledger, routing, scoring
 from paperloom.operators import pages as pages_plan
 from paperloom.plans import standins as S
-from paperloom.sources import files, sinks
+from paperloom.sources import files, session, sinks
 from paperloom.streaming import ledger_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -792,3 +792,60 @@ def box_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggestion_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.to_json(F.struct(F.col("event_id").cast("string").alias("number"), F.col("event_type").alias("type")))
     return S.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string", {"mode": "PERMISSIVE"})["k"].alias("k"), told.alias("suggestion"))
+
+
+# Streams and sinks, written and read back
+
+_STREAM = "CASE WHEN event_type IN ('error', 'signup') THEN 'drop' ELSE 'submit' END"
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_stream.ordered_run(spark, f"{sf_dir}/events.parquet", ["event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {_STREAM} AS kind FROM events), p AS (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+SELECT user_id, event_id FROM p WHERE kind = 'submit' AND (before IS NULL OR before = 'drop')""")
+def stream_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = lambda events: ledger_stream.submissions(events.select("user_id", "event_id", F.expr(_STREAM).alias("kind")), "user_id", "kind", "event_id")
+    return ledger_stream.run_plan(spark, f"{sf_dir}/events.parquet", plan)
+
+
+@query(ORACLE_SQL["rolling_cap"])
+def stream_rolling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = lambda events: events.select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    out = ledger_stream.run_plan(spark, f"{sf_dir}/events.parquet", lambda events: admission.admitted_stream(calls(events), "user_id", cap=2))
+    return out.select("user_id", F.col("id").alias("event_id"), "admitted")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_each_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = lambda events: ledger_stream.each_once(events.select("user_id", F.col("ts").cast("timestamp").alias("at")), "user_id", "at").select("user_id")
+    return ledger_stream.run_plan(spark, f"{sf_dir}/events.parquet", plan)
+
+
+@query(f"""SELECT o_custkey || '.pdf' AS source_file, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 40 + 1 AS INT) END AS page, {_STATUS} AS status, o_orderpriority AS type,
+  'out "' || o_orderkey || '",' || chr(10) || 'x' AS destination, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at FROM orders""")
+def results_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows appended as CSV in two goes, with quotes, commas and line ends in a name, and read back by their schema."""
+    page = "case when o_orderkey % 5 <> 0 then cast(o_orderkey % 40 + 1 as int) end as page"
+    rows = S.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 2 as half", "concat(o_custkey, '.pdf') as source_file", page, f"{_STATUS} as status", "o_orderpriority as type", "concat('out \"', o_orderkey, '\",\n', 'x') as destination", "o_orderdate as timestamp")
+    path = f"{session.shared_folder(spark)}/results.csv"
+    for half in (0, 1):
+        sinks.append_csv(rows.where(F.col("half") == half).drop("half"), path)
+    return files.read_results(spark, path).select("source_file", "page", "status", "type", "destination", text.log_time(F.col("timestamp")).alias("at"))
+
+
+@query("""WITH changes AS (SELECT user_id AS k, max(event_type) AS v FROM events GROUP BY 1), old AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer)
+SELECT k, v FROM changes UNION ALL SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM changes)""")
+def suggestions_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = S.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.max("event_type").alias("v"))
+    return sinks.upsert(S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), changes, "k")
+
+
+@query("SELECT count(*) AS appended, count(*) AS dry, count(*) AS there FROM lineitem")
+def append_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended to a table, counted as they are written; a dry run writes none."""
+    rows, path = S.table(spark, sf_dir, "lineitem"), f"{session.shared_folder(spark)}/log"
+    n, dry = sinks.append_table(rows, path), sinks.append_table(rows, path, dry_run=True)
+    return spark.read.parquet(path).agg(F.lit(n).cast("long").alias("appended"), F.lit(dry).cast("long").alias("dry"), F.count("*").alias("there"))

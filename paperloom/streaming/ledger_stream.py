@@ -54,6 +54,14 @@ def resumed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/log")
 
 
+def run_plan(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a plan over a stream of the files of a path appends, run to the end."""
+    folder = shared_folder(spark)
+    stream = plan(read_files(spark, _source(path), spark.read.parquet(path).schema))
+    run_to_end(stream, f"{folder}/log", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/log")
+
+
 def append_in_order(stream: DataFrame, order: Sequence[str], target: str, checkpoint: str, trigger: dict | None = None):  # noqa: ANN201
     """Append each micro-batch to target as parquet with a column batch, its rows sorted; ordered_log reads all in the order in which they were taken in.
 
@@ -71,6 +79,13 @@ def ordered_log(spark: SparkSession, target: str, order: Sequence[str]) -> DataF
     return spark.read.parquet(target).orderBy("batch", *order)
 
 
+def ordered_run(spark: SparkSession, path: str, order: Sequence[str]) -> DataFrame:
+    """The ordered log of one run to the end over the files of a path."""
+    folder = shared_folder(spark)
+    run_until(append_in_order(read_files(spark, _source(path), spark.read.parquet(path).schema), order, f"{folder}/log", f"{folder}/checkpoint"), lambda read: False)
+    return ordered_log(spark, f"{folder}/log", order)
+
+
 def run_until(query, enough: Callable[[int], bool], pause: float = 0.2) -> int:  # noqa: ANN001
     """Stop a running query between micro-batches as soon as the rows read are enough, or let it end; how many were read.
 
@@ -102,7 +117,8 @@ def submissions(events: DataFrame, key: str, kind: str, order: str) -> DataFrame
                 taken.append(o)
             queued = k == "submit"
         state.update((queued,))
-        yield pd.DataFrame({key: [name[0]] * len(taken), order: taken})
+        if taken:
+            yield pd.DataFrame({key: [name[0]] * len(taken), order: taken})
 
     rows = events.select(key, kind, order)
     return rows.groupBy(key).applyInPandasWithState(fold, rows.select(key, order).schema, "queued boolean", "append", "NoTimeout")
