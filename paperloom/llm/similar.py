@@ -14,10 +14,13 @@ the trees have joined already are left out.
 
 A bucket of up to PAIRED nodes proposes all its pairs. In a larger one each
 node is compared with CENTRES of them first, chosen by hash anew in each band.
-What that joins need not be compared again; all other pairs are, exactly: the
-bucket is dealt to blocks of about BLOCK nodes, and a task compares two blocks.
-Nodes joined already share blocks of their own if they are many, so a large
-group costs no more than its pairs with others.
+What that joins need not be compared again. The nodes of larger buckets that
+are not all joined by then are searched for similar sets exactly, not bucket by
+bucket: each set is listed under the shingles of its prefix, the rarest of the
+set, of which similar sets share one, and pairs of a list are compared if their
+lengths and places there leave enough in common. Texts on a common template
+whose own parts keep them apart so never meet under the template's shingles.
+A list of over LIST entries is dealt to blocks, and a task compares two blocks.
 
 Cases: as in simhash; texts without a word are one class; rows with a null id
 are compared like any other.
@@ -25,6 +28,7 @@ are compared like any other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +44,9 @@ from .components import connected_components
 from .simhash import Groups, bits_of, fingerprint_classes, shingle_hashes
 
 BANDS, ROWS = 24, 6
-PAIRED, CENTRES, BLOCK = 32, 3, 512
+PAIRED, CENTRES, LIST, BLOCK = 32, 3, 1024, 512
+#: Sets with a shingle beyond which it counts as frequent, most frequent shingles that travel to every task, and classes of length for each octave.
+COMMON, FREQUENT, STEPS = 32, 1 << 18, 32
 #: Narrow rows that a row of bands, and one of a set of shingles, counts for.
 WIDE, WEIGHT = 8, 50
 #: Shingles that a comparison of two blocks holds as columns at once.
@@ -138,22 +144,93 @@ def candidate_pairs(met: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.union, pairs).distinct()
 
 
-def block_pairs(large: DataFrame, rows: int) -> DataFrame:
-    """Columns job, side, node, root for rows (bucket, node, root): each pair of nodes of a bucket with different roots meets in a job, on side 0 or on both.
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than COMMON sets have, sorted, and how many: all, or as many of the commonest as FREQUENT allows. They order shingles, and decide nothing."""
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
+    counts = as_table(counts, "frequent")
+    least, total = 1 << 62, 0
+    for r in counts.groupBy(F.floor(F.log2("c") * 16).alias("place")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("place")).collect():
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["least"]
+    found = counts.where(F.col("c") >= least).toPandas()
+    drop_tables(counts)
+    order = np.argsort(found["s"].to_numpy(np.int64))
+    return found["s"].to_numpy(np.int64)[order], found["c"].to_numpy(np.int64)[order]
 
-    A root with over BLOCK nodes of a bucket has blocks to itself, which don't meet each other.
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, int]:
+    """The shingles that a set must be found by, rare ones first, and how many of them suffice where it is the smaller of two sets.
+
+    Of two sets so similar the first so many of the smaller and all of the larger have one in common, whatever the order of shingles.
     """
-    sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    small = F.coalesce(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))), F.lit(0))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("roots"), small.alias("small")).where("roots > 1").drop("roots")
-    own = F.when(F.col("c") > BLOCK, F.col("root"))
-    part = F.when(own.isNotNull(), F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("root", F.lit(5)), F.ceil(F.col("small") / BLOCK)))
-    placed = large.join(sizes.join(mixed, "bucket"), ["bucket", "root"]).select("bucket", "node", "root", own.alias("own"), part.alias("part"))
-    placed = placed.withColumn("block", F.xxhash64("bucket", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "part"))
-    placed = as_table(placed, "blocks", rows)
-    blocks = placed.select("bucket", "own", "block").distinct()
-    jobs = blocks.alias("x").join(blocks.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")))
-    jobs = jobs.where("x.own is null or y.own is null or x.own <> y.own").select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).withColumn("job", F.xxhash64("a", "b"))
+    known, counts = common
+    seen = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        seen = np.where(known[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    keep = n - math.ceil(similarity * n * (1 - 1e-9)) + 1
+    first = n - math.ceil(2 * similarity / (1 + similarity) * n * (1 - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, seen))][:keep], min(first, keep)
+
+
+def entries(sets: DataFrame, similarity: float) -> DataFrame:
+    """Columns s, node, root, len, pos, open for sets (node, class as root, shingles): a row for each shingle of a set's prefix, open where it is the smaller's."""
+    spark = sets.sparkSession
+    common = spark.sparkContext.broadcast(frequent(sets))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            for i in range(0, b.num_rows, 1000):
+                some = b.slice(i, 1000)
+                found = [prefix(x.values.to_numpy(zero_copy_only=False), common.value, similarity) for x in some.column("shingles")]
+                ends = np.cumsum([0, *(len(x) for x, _ in found)], dtype=np.int32)
+                columns = [some.column("node"), some.column("class"), pa.array([len(x) for x in some.column("shingles")], pa.int32()), pa.array([n for _, n in found], pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate([x for x, _ in found]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "len", "first", "tokens"])
+
+    found = sets.select("node", "class", "shingles").mapInArrow(run, "node long, root long, len int, first int, tokens array<long>")
+    rows = found.select("node", "root", "len", "first", F.posexplode("tokens").alias("pos", "s"))
+    return rows.select("s", "node", "root", "len", (F.col("pos") + 1).alias("pos"), (F.col("pos") < F.col("first")).alias("open"))
+
+
+def meeting(x: str, y: str, similarity: float) -> Column:
+    """Whether two entries of a list may be of similar sets that have no earlier shingle in common: x the smaller and open, and enough left in both."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    left = F.least(c(x, "len") - c(x, "pos"), c(y, "len") - c(y, "pos")) + 1
+    enough = left >= similarity / (1 + similarity) * (1 - 1e-9) * (c(x, "len") + c(y, "len"))
+    return c(x, "open") & (c(x, "len") <= c(y, "len")) & fitting(c(x, "len"), c(y, "len"), similarity) & (c(x, "root") != c(y, "root")) & enough
+
+
+def list_pairs(listed: DataFrame, similarity: float) -> DataFrame:
+    """Columns a < b of nodes that meet in a list of at most LIST entries, from entries with their list's size n."""
+    some = listed.where(F.col("n") <= LIST)
+    met = some.alias("x").join(some.alias("y"), (F.col("x.s") == F.col("y.s")) & meeting("x", "y", similarity))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def block_jobs(listed: DataFrame, similarity: float) -> DataFrame:
+    """Columns job, side, node, root for entries of longer lists: all that may meet in a list are in a job, on side 0 or on both.
+
+    A list is dealt to blocks of about BLOCK entries of like length, open ones apart from the others, and roots of over BLOCK apart from all. Blocks of one such root don't meet, nor
+    blocks none of which is open, nor those whose lengths and places rule it out.
+    """
+    long = listed.where(F.col("n") > LIST)
+    kind = long.withColumn("step", F.floor(F.log2("len") * STEPS)).withColumn("cap", (F.col("len") - F.col("pos") + 1) * ((1 + similarity) / similarity * (1 + 1e-9)) - F.col("len"))
+    sizes = kind.groupBy("s", "root").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("s", "root", F.col("root").alias("own"))
+    kind = kind.join(sizes, ["s", "root"], "left")
+    keys = ["s", "own", "open", "step"]
+    counts = kind.groupBy(*keys).agg(F.count("*").alias("c")).select(*(F.col(k).alias(f"__{k}") for k in keys), F.ceil(F.col("c") / BLOCK).alias("parts"))
+    same = (F.col("s") == F.col("__s")) & F.col("own").eqNullSafe(F.col("__own")) & (F.col("open") == F.col("__open")) & (F.col("step") == F.col("__step"))
+    placed = kind.join(counts, same).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))
+    placed = placed.withColumn("block", F.xxhash64("s", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "open", "step", "part"))
+    placed = as_table(placed.select("block", "s", "own", "open", "node", "root", "len", "cap"), "blocks")
+    blocks = placed.groupBy("s", "own", "open", "block").agg(F.min("len").alias("lo"), F.max("len").alias("hi"), F.max("cap").alias("cap"))
+    x, y = blocks.where("open").alias("x"), blocks.alias("y")
+    may = (F.col("x.s") == F.col("y.s")) & (~F.col("y.open") | (F.col("x.block") <= F.col("y.block"))) & (F.col("x.own").isNull() | F.col("y.own").isNull() | (F.col("x.own") != F.col("y.own")))
+    reach = lambda p, q: (F.col(f"{p}.lo") <= F.col(f"{q}.hi")) & (F.col(f"{p}.lo") <= F.col(f"{q}.cap")) & (F.col(f"{p}.hi") >= similarity * (1 - 1e-9) * F.col(f"{q}.lo"))
+    jobs = x.join(y, may & (reach("x", "y") | (F.col("y.open") & reach("y", "x")))).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).withColumn("job", F.xxhash64("a", "b"))
     sides = jobs.select("job", F.lit(0).alias("side"), F.col("a").alias("block")).union(jobs.where("a <> b").select("job", F.lit(1), "b"))
     return sides.join(placed.select("block", "node", "root"), "block").select("job", "side", "node", "root")
 
@@ -187,6 +264,26 @@ def linked_roots(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": roots[up[moved]], "b": roots[moved]})
 
 
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Columns a, b of classes: those of the pairs (a, b) of nodes whose sets (node, class, shingles) are so similar."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("shingles").alias("shingles_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("shingles").alias("shingles_b")), "b")
+    return both.where(jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
+def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Columns a, b that join the classes of all similar sets (node, class, shingles); exact."""
+    rows = as_table(entries(sets, similarity), "entries")
+    lists = rows.groupBy("s").agg(F.count("*").alias("n"), F.bool_or("open").alias("any"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("any and lo <> hi").select("s", "n")
+    listed = as_table(rows.join(lists, "s"), "listed")
+    links = verified(list_pairs(listed, similarity), sets, similarity)
+    if not listed.where(F.col("n") > LIST).isEmpty():
+        tasks = as_table(block_jobs(listed, similarity), "tasks")
+        jobs = tasks.join(sets.select("node", "shingles"), "node").groupBy("job")
+        links = links.union(jobs.applyInPandas(lambda p: linked_roots(p, similarity), "a long, b long"))
+    return links
+
+
 def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Columns id, fp, component_id: one row for each row of docs."""
     rows = as_table(signatures(docs, size, id_col, text_col), "signatures")
@@ -202,26 +299,25 @@ def similar_classes(docs: DataFrame, size: int, radius: int, similarity: float,
     pairs = as_table(candidate_pairs(met, similarity), "pairs", many * CENTRES)
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = as_table(shingle_sets(docs, nodes.join(needed, "node", "left_semi"), size, id_col, text_col), "sets", n * WEIGHT)
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("shingles").alias("shingles_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("shingles").alias("shingles_b")), "b")
-    links = both.where(jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    links = verified(pairs, sets, similarity)
     roots = connected_components(links.union(same), rows=many).select(F.col("node").alias("class"), "root")
     named = nodes.select("node", "class").join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("root"))
     named = as_table(named, "named", n)
 
     large = met.where(F.col("n") > PAIRED).select("bucket", "node").join(named, "node")
-    tasks = as_table(block_pairs(large, many), "tasks", many * CENTRES)
-    jobs = tasks.count()
-    if jobs:
+    mixed = large.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    rest = as_table(large.join(mixed, "bucket").select("node", F.col("root").alias("class")).distinct(), "rest", n)
+    if not rest.isEmpty():
         drop_tables(sets)
-        sets = as_table(shingle_sets(docs, nodes.join(tasks.select("node").distinct(), "node", "left_semi"), size, id_col, text_col), "sets", n * WEIGHT)
-        found = tasks.join(sets.select("node", "shingles"), "node").groupBy("job").applyInPandas(lambda p: linked_roots(p, similarity), "a long, b long")
-        joined = connected_components(found, rows=jobs).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        again = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named", n)
-        drop_tables(named)
-        named = again
+        again = nodes.select("node", "row").join(rest, "node")
+        sets = as_table(shingle_sets(docs, again, size, id_col, text_col), "sets", n * WEIGHT)
+        found = as_table(exact_links(sets, similarity), "links", many)
+        joined = connected_components(found, rows=many).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        final = as_table(named.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named", n)
+        drop_tables(named, found)
+        named = final
 
     least = rows.groupBy("node").agg(F.min("id").alias("first")).join(named, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     names = as_table(named.join(least, "root").select("node", "component_id"), "names", n)
-    drop_tables(near, seen, nodes, met, pairs, sets, tasks, named)
+    drop_tables(near, seen, nodes, met, pairs, sets, rest, named)
     return rows.select("id", "fp", "node").join(names, "node", "left").select("id", "fp", "component_id")

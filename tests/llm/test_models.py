@@ -504,10 +504,12 @@ def test_similar_to_any_member_of_a_class(spark):
     assert got == [(-1, 1), (1, 1), (7, 1), (7, 7), (9, 7)]
 
 
-def test_similar_in_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("longest", [1024, 4])
+def test_similar_in_large_buckets(spark, monkeypatch, longest):
     """Texts on one template, each similar to one other text only: every pair is found, though few of them are centres."""
     monkeypatch.setattr(similar, "PAIRED", 4)
-    monkeypatch.setattr(similar, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(similar, "LIST", longest)
+    monkeypatch.setattr(similar, "BLOCK", 16)
     signed = similar.signatures
     monkeypatch.setattr(similar, "signatures", lambda *x: signed(*x).withColumn("bands", F.array(F.lit(7).cast("long"))))  # all in one bucket
     r = np.random.default_rng(5)

@@ -1,6 +1,7 @@
 """Recall of similar texts on a corpus of one template, with the parameters of production."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import similar, simhash
@@ -35,6 +36,53 @@ def brute_force(rows, least):
     return {tuple(sorted((rows[a][0], rows[b][0]))) for a, b in zip(i, j)}, alike
 
 
+def families(seed):
+    """Sets of all sizes in families with a common core, many at about 0.8, and their classes, some of which are large."""
+    r = np.random.default_rng(seed)
+    sets = []
+    for f in range(12):
+        core = r.integers(0, 1 << 40, 40)
+        for _ in range(18):
+            own = np.concatenate([core[r.random(40) < r.choice([0.8, 0.9, 0.95, 1.0])], r.integers(0, 1 << 40, r.integers(0, 9))])
+            sets.append(np.unique(own)[: r.integers(1, 60)])
+    sets += [np.array([x]) for x in (7, 7, 8)] + [r.integers(0, 30, 25) for _ in range(30)]
+    sets = [np.unique(x).astype(np.int64) for x in sets]
+    return sets, r.integers(0, 3, len(sets)) * (r.random(len(sets)) < 0.4) + np.where(r.random(len(sets)) < 0.5, 1000 + np.arange(len(sets)), 1)
+
+
+@pytest.mark.parametrize(("longest", "block", "frequent", "common"), [(1024, 512, 1 << 18, 32), (2, 3, 1 << 18, 2), (3, 2, 4, 1), (6, 100, 0, 1)])
+def test_exact_links(spark, monkeypatch, longest, block, frequent, common):
+    """The links join classes as all similar pairs of sets do, by lists and by blocks, whatever is known of how frequent shingles are."""
+    for name, value in (("LIST", longest), ("BLOCK", block), ("FREQUENT", frequent), ("COMMON", common)):
+        monkeypatch.setattr(similar, name, value)
+    sets, classes = families(longest)
+    df = spark.createDataFrame([(i, int(c), x.tolist()) for i, (x, c) in enumerate(zip(sets, classes))], "node long, class long, shingles array<long>").repartition(3)
+    up = {int(c): int(c) for c in classes}
+
+    def joined(pairs):
+        top = dict(up)
+        for a, b in pairs:
+            top = {k: min(top[a], top[b]) if v in (top[a], top[b]) else v for k, v in top.items()}
+        return top
+
+    alike = [(int(classes[i]), int(classes[j])) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    got = [(r["a"], r["b"]) for r in similar.exact_links(df, 0.8).collect()]
+    assert len(set(alike)) > 40 and joined(got) == joined(alike)
+
+
+def test_prefix():
+    """The smaller's first part and the larger's whole prefix share a shingle if the sets are similar enough."""
+    r = np.random.default_rng(2)
+    for _ in range(400):
+        a = np.unique(r.integers(0, 60, r.integers(1, 50)))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.95], r.integers(0, 60, r.integers(0, 4))]))
+        if not len(b) or len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        order = (np.arange(60), r.integers(0, 5, 60))
+        (x, n), (y, m) = similar.prefix(a, order, 0.8), similar.prefix(b, order, 0.8)
+        assert (len(a) > len(b) or set(x[:n]) & set(y)) and (len(b) > len(a) or set(y[:m]) & set(x))
+
+
 def test_recall_on_a_template(spark, monkeypatch):
     """Texts alone decide here: fingerprints, which a common template makes equal, are set apart."""
     signed = similar.signatures
