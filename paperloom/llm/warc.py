@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, new_path
+from .common import as_table, new_path, slices
 
 #: Payloads of fewer bytes are never revisits. Bytes of records in an archive before the next begins. Level of gzip.
 LEAST, ARCHIVE, LEVEL = 1000, 32 << 20, 3
@@ -151,18 +151,17 @@ def write_archives(chosen: DataFrame, folder: str) -> DataFrame:
             out.close()
             return pa.RecordBatch.from_pydict({"path": [path]})
 
-        for b in batches:
-            for row in b.to_pylist():
-                if out is None:
-                    path, size, z = f"{base}/{uuid.uuid4().hex}.mono.warc.gz", 0, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    out = fs.open_output_stream(path, compression=None)
-                kind = "response" if row["refers_to"] is None else "revisit"
-                data = record(row["page_id"], row["url"], row["html"].encode(), row["digest"], kind, row["refers_to"])
-                out.write(z.compress(data))
-                size += len(data)
-                if size >= ARCHIVE:
-                    yield close()
-                    out = None
+        for row in (row for whole in batches for b in slices(whole, "html") for row in b.to_pylist()):
+            if out is None:
+                path, size, z = f"{base}/{uuid.uuid4().hex}.mono.warc.gz", 0, zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                out = fs.open_output_stream(path, compression=None)
+            kind = "response" if row["refers_to"] is None else "revisit"
+            data = record(row["page_id"], row["url"], row["html"].encode(), row["digest"], kind, row["refers_to"])
+            out.write(z.compress(data))
+            size += len(data)
+            if size >= ARCHIVE:
+                yield close()
+                out = None
         if out is not None:
             yield close()
 
