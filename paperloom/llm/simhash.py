@@ -40,7 +40,7 @@ SAMPLE, LEAF, MOST_SHARDS = 8192, 2048, 4096
 #: Most rows of a task's search, and fingerprints that fit the tree of a larger shard: such trees, one a leaf of the first, travel to every task.
 UNIT, FEW = 1 << 20, 1024
 #: Rows for each partition of the search, and most partitions.
-PART, MOST_PARTS = 10_000, 100_000
+PART, MOST_PARTS = 40_000, 100_000
 #: Fingerprints that a shard's search compares directly, and members that share a component's key.
 DIRECT, MEMBERS = 96, 1000
 

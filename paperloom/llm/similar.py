@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,10 +124,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, tex
 
 
 def bucketed(nodes: DataFrame, rows: int) -> DataFrame:
-    """Columns bucket, n (its nodes), c0.. (centres), node, class, len of nodes (node, class, len, bands) in buckets of more than one class."""
+    """Columns bucket, n (its nodes), node, class, len of nodes (node, class, len, bands) in buckets of more than one class."""
     met = nodes.select("node", "class", "len", F.posexplode("bands").alias("band", "value")).select("node", "class", "len", F.xxhash64("band", "value").alias("bucket"))
-    centre = [F.min_by(F.struct("node", "class", "len"), F.xxhash64("node", "bucket", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
-    buckets = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), *centre).where("lo <> hi").drop("lo", "hi")
+    buckets = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "n")
     return as_table(met.join(buckets, "bucket"), "buckets", rows * BANDS)
 
 
@@ -136,12 +134,12 @@ def candidate_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """Columns a < b of nodes of different classes that share a bucket and may be so similar; in a large one, of each with the centres."""
     few = met.where(F.col("n") <= PAIRED).select("bucket", "node", "class", "len")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & fitting(F.col("x.len"), F.col("y.len"), similarity)
-    pairs = [few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))]
-    many = met.where(F.col("n") > PAIRED)
-    for i in range(CENTRES):
-        other = many.where((F.col("class") != F.col(f"c{i}.class")) & fitting(F.col("len"), F.col(f"c{i}.len"), similarity))
-        pairs.append(other.select(F.least("node", f"c{i}.node").alias("a"), F.greatest("node", f"c{i}.node").alias("b")))
-    return reduce(DataFrame.union, pairs).distinct()
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = met.where(F.col("n") > PAIRED).select("bucket", "node", "class", "len")
+    chosen = [F.min_by(F.struct("node", "class", "len"), F.xxhash64("node", "bucket", F.lit(i))) for i in range(CENTRES)]
+    centres = many.groupBy("bucket").agg(F.array(*chosen).alias("centres")).select("bucket", F.explode("centres").alias("c"))
+    other = many.join(centres, "bucket").where((F.col("class") != F.col("c.class")) & fitting(F.col("len"), F.col("c.len"), similarity))
+    return pairs.union(other.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))).distinct()
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
