@@ -48,8 +48,8 @@ PAIRED, CENTRES, LIST, BLOCK = 32, 3, 1024, 512
 COMMON, FREQUENT, STEPS = 32, 1 << 18, 32
 #: Narrow rows that a row of bands, and one of a set of shingles, counts for.
 WIDE, WEIGHT = 8, 50
-#: Shingles that a comparison of two blocks holds as columns at once.
-COLUMNS = 8192
+#: Shingles of a block, unless one set has more, and those that a comparison of two blocks holds as columns at once.
+ELEMENTS, COLUMNS = 1 << 20, 8192
 SEED = 29
 
 
@@ -211,7 +211,7 @@ def list_pairs(listed: DataFrame, similarity: float) -> DataFrame:
 def block_jobs(listed: DataFrame, similarity: float) -> DataFrame:
     """Columns job, side, node, root for entries of longer lists: all that may meet in a list are in a job, on side 0 or on both.
 
-    A list is dealt to blocks of about BLOCK entries of like length, open ones apart from the others, and roots of over BLOCK apart from all. Blocks of one such root don't meet, nor
+    A list is dealt to blocks of about BLOCK entries, and ELEMENTS shingles, of like length, open ones apart from the others, and roots of over BLOCK apart from all. Blocks of one such root don't meet, nor
     blocks none of which is open, nor those whose lengths and places rule it out.
     """
     long = listed.where(F.col("n") > LIST)
@@ -219,7 +219,7 @@ def block_jobs(listed: DataFrame, similarity: float) -> DataFrame:
     sizes = kind.groupBy("s", "root").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("s", "root", F.col("root").alias("own"))
     kind = kind.join(sizes, ["s", "root"], "left")
     keys = ["s", "own", "open", "step"]
-    counts = kind.groupBy(*keys).agg(F.count("*").alias("c")).select(*(F.col(k).alias(f"__{k}") for k in keys), F.ceil(F.col("c") / BLOCK).alias("parts"))
+    counts = kind.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("len").alias("total")).select(*(F.col(k).alias(f"__{k}") for k in keys), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("total") / ELEMENTS)).alias("parts"))
     same = (F.col("s") == F.col("__s")) & F.col("own").eqNullSafe(F.col("__own")) & (F.col("open") == F.col("__open")) & (F.col("step") == F.col("__step"))
     placed = kind.join(counts, same).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))
     placed = placed.withColumn("block", F.xxhash64("s", F.coalesce("own", F.lit(0)), F.col("own").isNull(), "open", "step", "part"))
