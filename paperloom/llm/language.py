@@ -264,15 +264,15 @@ def _fold(id_col: Column, folds: int) -> Column:
 def fit(docs: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net:
     """Network trained on labelled rows outside the held fold."""
     text = F.col(text_col)
-    labelled = docs.where((_fold(F.col(id_col), folds) != held) & F.col(lang_col).isNotNull() & text.isNotNull())
+    labelled = docs.where((_fold(F.col(id_col), folds) != held) & F.col(lang_col).isNotNull())
     order = F.xxhash64(F.lit(SEED), F.col(id_col), text)
     place = lambda k: F.pmod(F.xxhash64(F.lit(SEED), k, F.col(id_col), text), F.greatest(F.length(text) - SPAN, F.lit(0)) + 1)
     passages = F.array(*(F.substring(text, (place(F.lit(k)) + 1).cast("int"), F.lit(SPAN)) for k in range(PLACES)))
-    rows = labelled.select(order.alias("o"), F.col(lang_col).cast("string").alias("lang"), passages.alias("passages"))
-    total = labelled.count()
+    rows = labelled.where(text.isNotNull()).select(order.alias("o"), F.col(lang_col).cast("string").alias("lang"), passages.alias("passages"))
+    total = labelled.count()  # reads no text
     taken = lambda some: some.orderBy("o", "lang", "passages").limit(FIT_DOCS).collect()
     found = taken(rows.where(within_sample(F.col("o"), total, FIT_DOCS)))
-    if len(found) < min(FIT_DOCS, total):  # many rows alike, whose hashes are the same
+    if len(found) < min(FIT_DOCS, total):  # many rows without a text, or alike, whose hashes are the same
         found = taken(rows)
     return train([(r["lang"], p) for r in found for p in r["passages"]])
 
