@@ -79,6 +79,8 @@ GATE_PASS = Anchor("G/P#", 0.014, x_min=0.55)
 CHALLAN = Anchor("DC#", 0.024, x_max=0.50, right_of_label=True)
 ANCHORS = (("delivery_challan", GATE_PASS), ("delivery_challan", CHALLAN))
 
+# Where a field column lies that may be blank, as shares of the page: from and to in height, its right edge.
+FIELD_COLUMN = (0.02, 0.30, 0.45)
 # Zooms at which a detected crop is read, and the margin around each.
 ZOOMS, MARGIN = (0.8, 1.0, 1.2), 24
 # Local contrast of crops, and the sizes that the page classifier and the digit reader take.

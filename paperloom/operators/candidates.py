@@ -112,8 +112,9 @@ def zoomed(width: Column, height: Column, zooms: Sequence[float] = params.ZOOMS)
     return F.array(*(F.struct(F.lit(z).alias("zoom"), size(width, z).alias("zw"), size(height, z).alias("zh"), F.lit(z >= 1).alias("smooth")) for z in zooms))
 
 
-def column_has_digits(items: DataFrame, page: Sequence[str], y_lo: float = 0.02, y_hi: float = 0.30, x_max: float = 0.45) -> DataFrame:
+def column_has_digits(items: DataFrame, page: Sequence[str], column: tuple[float, float, float] = params.FIELD_COLUMN) -> DataFrame:
     """Columns page, written: whether any item (text, x0, y0, w, h) in a field column holds a digit."""
+    y_lo, y_hi, x_max = column
     inside = (F.col("x0") <= F.lit(x_max) * F.col("w")) & F.col("y0").between(F.lit(y_lo) * F.col("h"), F.lit(y_hi) * F.col("h"))
     return items.groupBy(*page).agg(F.coalesce(F.bool_or(inside & (digits_of(F.col("text")) != "")), F.lit(False)).alias("written"))
 
