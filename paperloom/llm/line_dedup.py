@@ -3,7 +3,9 @@
 A HyperLogLog sketch of sites per normalised line merges by aggregation; lines
 whose estimate is near the threshold get an exact distinct count. A line that
 reaches the threshold is boilerplate: it stays in the document with the
-smallest id that has it and goes from all others. DataFrame functions only.
+smallest id that has it, as often as it stands there, and goes from all others.
+Lines are told apart by the 64-bit hash of their normal form. DataFrame
+functions only.
 
 Cases: a null text stays null, an empty one empty; lines without a word never
 go; a null site counts as the site ''; equal rows are cleaned alike; a null id
