@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.params import DUPLICATES, GLYPH_HEIGHT, OUTLIER_LEAST, OUTLIER_MARGIN
 from paperloom.functions.text import all_digits
 from paperloom.operators.routing import numbered
 
-#: Approximate quantiles that split a book's numbers before they are ranked.
-CUTS = 200
-
 
 def duplicate_groups(filed: DataFrame, least: int = DUPLICATES) -> DataFrame:
     """Columns label, number, n for numbers (as written, zeros count) that a book has at least so often."""
@@ -23,21 +20,15 @@ def duplicate_groups(filed: DataFrame, least: int = DUPLICATES) -> DataFrame:
 def core_ranges(counted: DataFrame, least: int = OUTLIER_LEAST) -> DataFrame:
     """Columns label, core_lo, core_hi from distinct (label, number): the numbers at two ranks of each book, exactly.
 
-    No task sorts a whole book: approximate quantiles deal its numbers to
-    buckets, bucket counts tell which two hold the ranks, and only those are
-    ranked within.
+    Numbers are placed across tasks, so none sorts a whole book, from rows that
+    are written first: bounds told anew by each reader (approximate quantiles
+    differ by the order blocks arrive in) would not agree on the ranks.
     """
-    steps = F.array(*(F.lit(i / CUTS) for i in range(1, CUTS)))
-    cuts = counted.groupBy("label").agg(F.count("*").alias("u"), F.percentile_approx("number", steps, 50 * CUTS).alias("cuts")).where(F.col("u") >= least)
-    placed = counted.join(cuts, "label").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("number"))))
-    sized = placed.groupBy("label", "u", "bucket").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("lo", F.expr("u div 20")).withColumn("hi", F.expr("u * 19 div 20 - 1"))
-    holds = lambda i: (F.col("before") <= F.col(i)) & (F.col(i) < F.col("before") + F.col("m"))
-    wanted = sized.where(holds("lo") | holds("hi")).select("label", "bucket", "before", "lo", "hi")
-    inside = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("number")) - 1 + F.col("before")
-    ranked = placed.select("label", "bucket", "number").join(wanted, ["label", "bucket"]).withColumn("i", inside)
-    return ranked.groupBy("label").agg(F.max(F.when(F.col("i") == F.col("lo"), F.col("number"))).alias("core_lo"), F.max(F.when(F.col("i") == F.col("hi"), F.col("number"))).alias("core_hi"))
+    placed = numbered(counted.select("label", "number"), ["label"], ["number"], "i")
+    ranks = F.array(*(F.struct(F.lit(end).alias("end"), F.expr(at).alias("i")) for end, at in (("lo", "u div 20 + 1"), ("hi", "u * 19 div 20"))))
+    wanted = counted.groupBy("label").agg(F.count("*").alias("u")).where(F.col("u") >= least).select("label", F.inline(ranks))
+    at = lambda end: F.max(F.when(F.col("end") == end, F.col("number")))
+    return placed.join(wanted, ["label", "i"]).groupBy("label").agg(at("lo").alias("core_lo"), at("hi").alias("core_hi"))
 
 
 def outlier_groups(filed: DataFrame, least: int = OUTLIER_LEAST, margin: float = OUTLIER_MARGIN) -> DataFrame:

@@ -158,6 +158,26 @@ def test_duplicates_and_outliers(spark):
     assert [tuple(r) for r in got] == [("b", 500, 2, 2, 19)]
 
 
+def _mixed(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    t = pa.Table.from_batches(batches)
+    yield from t.take(np.random.default_rng().permutation(len(t))).to_batches()
+
+
+def test_core_of_large_books(spark):
+    """The core's ends are exact ranks, though each reading of the numbers gives them in another order."""
+    n = 100_000
+    rows = spark.range(2 * n, numPartitions=1).selectExpr("concat('b', id % 2) as label", "id div 2 as number").mapInArrow(_mixed, "label string, number long")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert sorted(tuple(r) for r in analytics.core_ranges(rows).collect()) == [(b, n // 20, n * 19 // 20 - 1) for b in ("b0", "b1")]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+
+
 def test_collapse(spark):
     df = spark.createDataFrame([([0, 5, 5, 0, 5, 3, 3, 0, 1],), ([0, 0],), ([],), (None,)], "f array<int>")
     assert [r[0] for r in df.select(scoring.collapse(F.col("f"))).collect()] == ["4420", None, None, None]
