@@ -25,17 +25,17 @@ def core_ranges(counted: DataFrame, least: int = OUTLIER_LEAST) -> DataFrame:
     differ by the order blocks arrive in) would not agree on the ranks.
     """
     placed = numbered(counted.select("label", "number"), ["label"], ["number"], "i")
-    ranks = F.array(*(F.struct(F.lit(end).alias("end"), F.expr(at).alias("i")) for end, at in (("lo", "u div 20 + 1"), ("hi", "u * 19 div 20"))))
-    wanted = counted.groupBy("label").agg(F.count("*").alias("u")).where(F.col("u") >= least).select("label", F.inline(ranks))
+    ranks = F.array(*(F.struct(F.lit(end).alias("end"), F.expr(at).alias("rank")) for end, at in (("lo", "u div 20 + 1"), ("hi", "u * 19 div 20"))))
+    wanted = counted.groupBy("label").agg(F.count("*").alias("u")).where(F.col("u") >= least).select(F.col("label").alias("book"), F.inline(ranks))
     at = lambda end: F.max(F.when(F.col("end") == end, F.col("number")))
-    return placed.join(wanted, ["label", "i"]).groupBy("label").agg(at("lo").alias("core_lo"), at("hi").alias("core_hi"))
+    return placed.join(wanted, F.col("label").eqNullSafe(F.col("book")) & (F.col("i") == F.col("rank"))).groupBy("label").agg(at("lo").alias("core_lo"), at("hi").alias("core_hi"))
 
 
 def outlier_groups(filed: DataFrame, least: int = OUTLIER_LEAST, margin: float = OUTLIER_MARGIN) -> DataFrame:
-    """Columns label, number (long), n, core_lo, core_hi: numbers far outside their book's core, the range between two ranks of its distinct numbers."""
+    """Columns label, number (long), n, core_lo, core_hi: numbers far outside their book's core, the range between two ranks of its distinct numbers. No label is a book, too."""
     numbers = filed.where(all_digits(F.col("number"))).select("label", F.expr("try_cast(number as bigint)").alias("number")).where("number is not null")
     counted = numbers.groupBy("label", "number").agg(F.count("*").alias("n"))
-    cored = counted.join(core_ranges(counted, least), "label")
+    cored = counted.join(core_ranges(counted, least).withColumnRenamed("label", "book"), F.col("label").eqNullSafe(F.col("book")))
     slack = F.lit(margin) * F.greatest(F.lit(1), F.col("core_hi") - F.col("core_lo"))
     return cored.where((F.col("number") < F.col("core_lo") - slack) | (F.col("number") > F.col("core_hi") + slack)).select("label", "number", "n", "core_lo", "core_hi")
 
